@@ -38,7 +38,7 @@ TREES, BRANCHES, DEPTH, SMALL, BLOCK = 4, 2, 3, 64, 256
 COORDS = 48
 #: Pairs below this share of equal coordinates are not confirmed: 3.5 standard deviations under 0.8.
 LIKELY = 29
-ROUNDS, HUBS, SALTS = 4, 3, 64
+ROUNDS, HUBS, SALTS = 3, 3, 64
 #: Ids up to this number are broadcast to filter the texts (some MB), more are joined.
 BROADCAST_IDS = 200_000
 
@@ -227,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = durable(e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct())
     return durable(e.select(F.col("u").alias("id"), F.col("v").alias("label")))
