@@ -131,14 +131,16 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _propose(nodes: DataFrame, last: bool) -> DataFrame:
-    """Pairs (a, b) to confirm and each node's hub: kind 0 is a pair, kind 1 is (hub a, size of its neighbourhood b)."""
+    """Pairs (a, b) to confirm and each node's hub: kind 0 is a pair, kind 1 is (hub a, sixths of the node that resemble it b)."""
 
     def judge(key: int, rep: np.ndarray, label: np.ndarray, sig: np.ndarray, out: list) -> None:
         alike = np.zeros((len(rep), len(rep)), np.uint8)
         for c in range(COORDS):
             alike += sig[:, None, c] == sig[None, :, c]
         near = alike >= LIKELY
-        degree = near.sum(axis=1)
+        # coarse degrees: among near copies of each other, nodes then agree on the smallest ids as hubs, so that
+        # the pairs of all nodes are few; the middle of a star still stands out
+        degree = near.sum(axis=1) * 6 // len(rep)
         top = int(np.lexsort((rep, -degree))[0])
         out.append((key, 1, rep[top], int(degree[top])))
         near &= label[:, None] != label[None, :]
@@ -254,7 +256,7 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: st
         proposed = durable(_propose(named, k == ROUNDS - 1))
         pairs = proposed.where("kind = 0").select("a", "b")
         if large is not None and k == 0:
-            hubs = large.select("node", "key").distinct().join(proposed.where("kind = 1"), "key").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("b", "a")), asc=False), 1, HUBS).alias("hubs"))
+            hubs = large.select("node", "key").distinct().join(proposed.where("kind = 1"), "key").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("b")).alias("b"), "a"))), 1, HUBS).alias("hubs"))
             hubs = hubs.select("node", F.explode("hubs").alias("hub")).select("node", F.col("hub.a").alias("b"))
             hubs = hubs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("hub_sig")), "b")
             met = large.select("node", F.col("rep").alias("a")).join(hubs, "node").where("a <> b").join(reps.select(F.col("rep").alias("a"), "sig"), "a")
