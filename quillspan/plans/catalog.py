@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,20 @@ def plan(name: str, sql: str | None = None):
     return keep
 
 
+#: Modules that register plans.
+MODULES = ("text", "matching", "spans", "metrics", "annotation", "records")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"quillspan.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
