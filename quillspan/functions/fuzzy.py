@@ -58,7 +58,7 @@ def token_set_ratio(a: str, b: str) -> float:
     if both and (not left or not right):
         return 100.0
     with_left, with_right = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(ratio(with_left, with_right), *((ratio(both, with_left), ratio(both, with_right)) if both else ()))
+    return max([ratio(with_left, with_right)] + ([ratio(both, with_left), ratio(both, with_right)] if both else []))
 
 
 def partial_token_ratio(a: str, b: str) -> float:

@@ -12,18 +12,28 @@ from quillspan.functions import constants as K
 TOKENS = "array<struct<tok:string,start:int,end:int>>"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Array of (tok, start, end) for the matches of ``pattern``; gaps come from splitting by it."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(TOKENS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["tok"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["tok"].alias("tok"), start.alias("start"), end.alias("end")))).alias("out"))
+        def add(start: Column) -> Column:
+            end = start + F.length(x["tok"])
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["tok"].alias("tok"), start.alias("start"), end.alias("end")))).alias("out"))
+
+        return let(acc["at"] + F.length(x["gap"]), add)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("tok")))
-    return F.when(text.isNull() | (F.size(hits) == 0), F.array().cast(TOKENS)).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+    def of(hits: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("tok")))
+        return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(TOKENS))
+
+    return let(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")), of)
 
 
 def tokenize(text: Column) -> Column:
@@ -91,8 +101,10 @@ PII = (("email", K.EMAIL, "[EMAIL]"), ("phone", K.PHONE, "[PHONE]"), ("ssn", K.S
 
 def pii_matches(text: Column) -> Column:
     """Array of (kind, tok, start, end, mask) on the original text, in the order email, phone, ssn."""
-    found = [F.transform(find_all(text, p), lambda m, k=k, r=r: F.struct(F.lit(k).alias("kind"), m["tok"].alias("tok"), m["start"].alias("start"), m["end"].alias("end"), F.lit(r).alias("mask"))) for k, p, r in PII]
-    return F.concat(*found)
+    def marked(kind: str, pattern: str, mask: str) -> Column:
+        return F.transform(find_all(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["tok"].alias("tok"), m["start"].alias("start"), m["end"].alias("end"), F.lit(mask).alias("mask")))
+
+    return F.concat(*(marked(*x) for x in PII))
 
 
 def deidentify(text: Column) -> Column:
@@ -104,10 +116,13 @@ def deidentify(text: Column) -> Column:
 
 def shift_spans(spans: Column, matches: Column, new_text: Column) -> Column:
     """Spans moved by the masks that end before them; spans that touch a match are dropped."""
-    clear = F.filter(spans, lambda s: ~F.exists(matches, lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"])))
-    shift = lambda s: F.aggregate(matches, F.lit(0), lambda acc, m: acc + F.when(m["end"] <= s["start"], F.length(m["mask"]) - F.length(m["tok"])).otherwise(0))
-    moved = F.transform(clear, lambda s: s.withField("start", s["start"] + shift(s)).withField("end", s["end"] + shift(s)))
-    return F.filter(moved, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(new_text)))
+    def of(found: Column) -> Column:
+        clear = F.filter(spans, lambda s: ~F.exists(found, lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"])))
+        shift = lambda s: F.aggregate(found, F.lit(0), lambda acc, m: acc + F.when(m["end"] <= s["start"], F.length(m["mask"]) - F.length(m["tok"])).otherwise(0))
+        moved = F.transform(clear, lambda s: let(shift(s), lambda d: s.withField("start", s["start"] + d).withField("end", s["end"] + d)))
+        return F.filter(moved, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(new_text)))
+
+    return let(matches, of)
 
 
 def sentences(text: Column) -> Column:

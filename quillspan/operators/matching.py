@@ -86,41 +86,33 @@ def _kept(s: Settings) -> list[Column]:
     return [(F.col("concept_id") if symptom else none).alias("concept_id"), (none if symptom else F.col("sku")).alias("sku"), (none if symptom else F.col("category")).alias("category")]
 
 
-def windows(docs: DataFrame, s: Settings) -> DataFrame:
-    """Token windows of 1 to ``max_words`` that pass the cheap tests: doc_id, size, at, start, end, phrase, toks."""
-    base = prepare(docs, s).withColumn("tokens", T.tokenize(F.col("m")))
-    n = F.size("tokens")
-    spots = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(s.max_words)), lambda k: F.transform(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(k.alias("size"), i.alias("at")))))
-    rows = base.select("doc_id", "text", "regions", "tokens", F.explode(spots).alias("w"))
-    part = F.slice("tokens", F.col("w.at") + 1, F.col("w.size"))
-    rows = rows.select(
-        "doc_id", "regions", F.col("w.size").alias("size"), F.col("w.at").alias("at"), F.transform(part, lambda t: F.lower(t["tok"])).alias("toks"),
-        F.get(part, 0)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"), "text",
-    )
-    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    phrase = F.array_join("toks", " ")
-    content = F.filter("toks", lambda t: ~t.isin(*K.STOPWORDS) & (F.length(t) > 3))
-    anatomy = (F.col("size") == 1) & F.get("toks", 0).isin(*K.ANATOMY)
-    return rows.where((F.length(phrase) >= 3) & ~anatomy & (F.size(content) > 0) & ~cut.rlike("[,;.]")).select(
-        "doc_id", "size", "at", "start", "end", phrase.alias("phrase"), "toks", cut.alias("span_text"), negation.touches(F.col("start"), F.col("end"), F.col("regions")).alias("negated")
-    )
-
-
 def candidates(docs: DataFrame, lexicon: DataFrame, s: Settings) -> DataFrame:
-    """Windows joined with the terms that share the first token, nearly the length, half of the content words and the last token."""
+    """Token windows of 1 to ``max_words`` joined with the terms that share the first token, nearly the length, half of the content words and the last token.
+
+    Tokens meet first tokens before any window is built, so windows are built only where a term may start.
+    """
     terms = lexicon.select("lex_ord", F.lower("term").alias("t_phrase"), T.words(F.lower("term")).alias("t_toks")).where(F.size("t_toks") > 0)
     terms = _sized(terms.withColumn("first", F.get("t_toks", 0)))
     known = _sized(lexicon.select(F.lower("term").alias("phrase")).distinct())
-    found = windows(docs, s).join(known, "phrase", "left_anti").withColumn("first", F.get("toks", 0)).join(terms, "first")
+    base = prepare(docs, s).withColumn("tokens", T.tokenize(F.col("m")))
+    spots = base.select("doc_id", "text", "regions", "tokens", F.posexplode("tokens").alias("at", "t")).withColumn("first", F.lower("t.tok")).drop("t")
+    met = spots.join(terms, "first")
+    low, high = F.greatest(F.lit(1), F.size("t_toks") - 1), F.least(F.lit(s.max_words), F.size("t_toks") + 1, F.size("tokens") - F.col("at"))
+    rows = met.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("size"))
+    rows = rows.withColumn("part", F.slice("tokens", F.col("at") + 1, F.col("size")))
+    rows = rows.select(
+        "doc_id", "text", "regions", "size", "at", "lex_ord", "t_phrase", "t_toks", F.transform("part", lambda t: F.lower(t["tok"])).alias("toks"),
+        F.get("part", 0)["start"].alias("start"), F.element_at("part", -1)["end"].alias("end"),
+    )
+    rows = rows.where((F.col("size") == 1) | (F.element_at("toks", -1) == F.element_at("t_toks", -1)))
+    rows = rows.withColumns({"phrase": F.array_join("toks", " "), "span_text": F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))})
+    content = F.exists("toks", lambda t: ~t.isin(*K.STOPWORDS) & (F.length(t) > 3))
+    anatomy = (F.col("size") == 1) & F.col("phrase").isin(*K.ANATOMY)
+    rows = rows.where((F.length("phrase") >= 3) & ~anatomy & content & ~F.col("span_text").rlike("[,;.]")).join(known, "phrase", "left_anti")
     words_of = lambda c: F.array_distinct(F.filter(c, lambda t: ~t.isin(*K.STOPWORDS)))
-    a, b = words_of(F.col("toks")), words_of(F.col("t_toks"))
-    shared = F.size(F.array_intersect(a, b))
-    return found.where(
-        (F.abs(F.size("t_toks") - F.col("size")) <= 1)
-        & (shared > 0)
-        & (shared >= F.least(F.size(a), F.size(b)) * K.CONTENT_OVERLAP)
-        & ((F.col("size") == 1) | (F.element_at("toks", -1) == F.element_at("t_toks", -1)))
-    ).select("doc_id", "size", "at", "start", "end", "phrase", "span_text", "negated", "lex_ord", "t_phrase")
+    rows = rows.withColumns({"a": words_of(F.col("toks")), "b": words_of(F.col("t_toks"))}).withColumn("shared", F.size(F.array_intersect("a", "b")))
+    rows = rows.where((F.col("shared") > 0) & (F.col("shared") >= F.least(F.size("a"), F.size("b")) * K.CONTENT_OVERLAP))
+    return rows.select("doc_id", "size", "at", "start", "end", "phrase", "span_text", negation.touches(F.col("start"), F.col("end"), F.col("regions")).alias("negated"), "lex_ord", "t_phrase")
 
 
 def match_fuzzy(docs: DataFrame, lexicon: DataFrame, s: Settings) -> DataFrame:

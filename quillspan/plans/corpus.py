@@ -9,7 +9,7 @@ _TERM = lambda key: "case " + " ".join(f"when {key} % 7 = {k} then '{t}'" for k,
 
 #: One complaint per line item: doc_id, text, category, id-derived keys.
 COMPLAINTS = f"""
-select l_orderkey * 10 + l_linenumber as doc_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name,
+select l_orderkey * 1000 + nth as doc_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name,
   case (l_orderkey + l_linenumber) % 6
     when 0 then 'Patient reports ' || {_TERM('l_partkey')} || ' after using ' || p_name || '.'
     when 1 then 'No ' || {_TERM('l_partkey')} || ' seen with ' || p_name || ' today.'
@@ -18,14 +18,14 @@ select l_orderkey * 10 + l_linenumber as doc_id, l_orderkey, l_linenumber, l_par
     when 4 then 'Used ' || p_name || ', felt burning sensatons and called 555-123-4567 or 078-05-1120. ' || {_TERM('l_suppkey')}
     else 'Contact user' || cast(l_suppkey % 97 as string) || '@mail.example.com about ' || {_TERM('l_partkey')} || ' and dizzy spell. Thanks'
   end as text
-from {{lineitem}} join {{part}} on l_partkey = p_partkey
+from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as nth from {{lineitem}}) join {{part}} on l_partkey = p_partkey
 """
 
 _SPAN = """
-select l_orderkey as doc_id, cast(l_linenumber as int) as ord, cast(l_linenumber * 20 + l_partkey % 5 as int) as start_, cast(l_linenumber * 20 + l_partkey % 5 + 5 + l_suppkey % 7 as int) as end_,
+select l_orderkey as doc_id, cast(nth as int) as ord, cast(nth * 20 + l_partkey % 5 as int) as start_, cast(nth * 20 + l_partkey % 5 + 5 + l_suppkey % 7 as int) as end_,
   case when l_partkey % 3 = 0 then 'PRODUCT' else 'SYMPTOM' end as label, (50 + l_partkey % 51) / 100.0e0 as confidence, l_suppkey % 4 = 0 as negated,
   'c' || cast(l_partkey % 9 as string) as canonical, case when l_suppkey % 3 = 0 then 'severe rash' when l_suppkey % 3 = 1 then 'rash' else null end as span_text, l_partkey, l_suppkey
-from {lineitem}
+from (select l_orderkey, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as nth from {lineitem})
 """
 #: Spans: doc_id, ord, start_, end_, label, confidence, negated, canonical, span_text.
 WEAK = _SPAN
@@ -52,6 +52,8 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus as a frame; span offsets are named start and end."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part") if "{" + t + "}" in ALL[name]}
     df = spark.sql(ALL[name], **tables)
+    if name == "complaints":  # the test tables are one small file each; labelling is work for all cores
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df.withColumnsRenamed({"start_": "start", "end_": "end"})
 
 

@@ -112,9 +112,9 @@ def pii_matches(spark, sf_dir):
     return found.select("doc_id", "m.kind", "m.tok", F.col("m.start").alias("start_pos"))
 
 
-@plan("deidentify_adjust_spans", with_("complaints", sql=f"select doc_id, (length(text) - 10 + case when regexp_matches(text, '{_EMAIL}') then 7 - length(regexp_extract(text, '{_EMAIL}')) else 0 end + case when regexp_matches(text, '{_PHONE}') then 7 - 12 else 0 end + case when regexp_matches(text, '{_SSN}') then 5 - 11 else 0 end)::int start_pos from complaints where not regexp_matches(right(text, 10), '[0-9]{{2}}|@')"))
+@plan("deidentify_adjust_spans", with_("complaints", sql=f"select doc_id, (length(text) - 10 + case when regexp_matches(text, '{_EMAIL}') then 7 - length(regexp_extract(text, '{_EMAIL}')) else 0 end + case when regexp_matches(text, '{_PHONE}') then 7 - 12 else 0 end + case when regexp_matches(text, '{_SSN}') then 5 - 11 else 0 end)::int start_pos from complaints where not regexp_matches(right(text, 10), '[0-9]|@')"))
 def deidentify_adjust_spans(spark, sf_dir):
-    docs = corpus(spark, sf_dir, "complaints").where(~F.substring("text", -10, 10).rlike("[0-9]{2}|@"))
+    docs = corpus(spark, sf_dir, "complaints").where(~F.substring("text", -10, 10).rlike("[0-9]|@"))
     spans = F.array(F.struct((F.length("text") - 10).alias("start"), F.length("text").alias("end")))
     docs = docs.select("doc_id", F.explode(T.shift_spans(spans, T.pii_matches(F.col("text")), T.deidentify(F.col("text")))).alias("s"))
     return docs.select("doc_id", F.col("s.start").alias("start_pos"))
@@ -140,7 +140,7 @@ def negated_regions(spark, sf_dir):
     return docs.select("doc_id", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end"))
 
 
-@plan("is_negated_overlap", with_("weak", "gold", sql="select w.doc_id, w.ord, coalesce(bool_or(greatest(0, least(w.end_, g.end_) - greatest(w.start_, g.start_)) >= (w.end_ - w.start_) * 0.5), false) negated from weak w left join gold g on w.doc_id = g.doc_id and g.start_ < w.end_ and g.end_ > w.start_ group by 1, 2"))
+@plan("is_negated_overlap", with_("weak", "gold", sql="select w.doc_id, w.ord, coalesce(bool_or(g.doc_id is not null and greatest(0, least(w.end_, g.end_) - greatest(w.start_, g.start_)) >= (w.end_ - w.start_) * 0.5), false) negated from weak w left join gold g on w.doc_id = g.doc_id and g.start_ < w.end_ and g.end_ > w.start_ group by 1, 2"))
 def is_negated_overlap(spark, sf_dir):
     regions = corpus(spark, sf_dir, "gold").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"))).cast(negation.REGIONS).alias("regions"))
     spans = corpus(spark, sf_dir, "weak").join(regions, "doc_id", "left")
