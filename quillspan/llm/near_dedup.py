@@ -3,14 +3,18 @@
 Documents with the same shingle set become one representative. Independent trees branch the representatives by
 minwise tokens: the root of a tree takes BRANCHES coordinates of the signature, and a node goes on with
 BRANCHES more, picked by its path, for as long as it holds more than SMALL documents, DEPTH levels at most. Documents
-of a small node are compared exhaustively by their signatures. What is still large at the
+of a small node are compared exhaustively by their sketches. What is still large at the
 last level holds documents that are much alike, such as thousands of near copies; it is dealt into blocks of
 bounded size, other blocks for every node, and besides each of its documents meets the node's hubs, the
 documents that most others resemble.
 
-Nodes don't emit all their pairs. In a round every document is paired with the hubs of its neighbourhood; pairs are confirmed on
-the full shingle sets of the texts; then only pairs from different components are looked at again, and
-the last round takes all that are left. A pair whose ends are already joined by confirmed links can't change the result.
+A sketch has a byte for each of BINS ranges of the hash: of the smallest hash there, or 0. Equal bytes among the ranges
+that either set reaches estimate the similarity; pairs more than 3.5 standard deviations under 0.8 are not confirmed.
+
+Nodes don't emit all their pairs. First the documents of large nodes meet the hubs; then, in the first tree and again in
+all trees, every document is paired with the hubs of its neighbourhood; the last round takes all pairs that are left. In
+each round the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are
+looked at in the next. A pair whose ends are already joined by confirmed links can't change the result.
 
 A pair of similarity 0.8 meets in a tree with probability 0.93 or more, in one of TREES with 0.99997.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,13 @@ from quillspan.llm.common import LOWER, UPPER, by_batch, durable
 TREES, BRANCHES, DEPTH, SMALL, BLOCK = 4, 2, 3, 64, 256
 #: Coordinates of a signature; the first TREES * BRANCHES are for the roots.
 COORDS = 48
-#: Pairs below this share of equal coordinates are not confirmed: 3.5 standard deviations under 0.8.
-LIKELY = 29
-ROUNDS, HUBS, SALTS = 3, 3, 64
+#: Bytes of a sketch, and how many standard deviations under the wanted similarity a pair may seem.
+BINS, DEVIATIONS = 384, 3.5
+HUBS, SALTS = 3, 64
 #: Ids up to this number are broadcast to filter the texts (some MB), more are joined.
 BROADCAST_IDS = 200_000
 
+_AS_PY = methodcaller("as_py")
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.random.default_rng(20240229)
 _A = _MIX.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +60,7 @@ class _Hashes(dict):
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -92,25 +98,56 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best.view(np.int32)
 
 
+_EDGES = np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
+
+
+def bins(s: np.ndarray) -> bytes:
+    """The sketch of a sorted set."""
+    at = np.searchsorted(s, _EDGES)
+    end = np.append(at[1:], len(s))
+    first = s[np.minimum(at, len(s) - 1)] % np.uint64(255) + np.uint64(1)
+    return np.where(at < end, first, 0).astype(np.uint8).tobytes()
+
+
+def _likely(equal: np.ndarray, neither: np.ndarray, percent: int) -> np.ndarray:
+    """Whether so many equal bytes of two sketches, those that are 0 in both included, let the pair be similar enough.
+
+    The m ranges in use are a sample, without replacement, of the union, whose size they tell; one is allowed for rounding.
+    """
+    m, p = BINS - neither, percent / 100
+    unseen = 1 - m / BINS / -np.log(np.clip(neither / BINS, 1e-9, 1 - 1e-9))
+    return equal - neither >= p * m - DEVIATIONS * np.sqrt(p * (1 - p) * m * np.clip(unseen, 0, 1)) - 1
+
+
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest (of the whole set), sig."""
+    """id, n, digest (of the whole set), sig, bins."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        n, digest, sig = [], [], []
-        for text in batch.column(1).to_pylist():
+        n, digest, sig, parts = [], [], [], []
+        for text in map(_AS_PY, batch.column(1)):  # one at a time: a batch of texts is large
             s = shingles(text, words)
             n.append(len(s))
             digest.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
             sig.append(signature(s) if len(s) else None)
-        return {"id": batch.column(0), "n": n, "digest": digest, "sig": sig}
+            parts.append(bins(s) if len(s) else None)
+        return {"id": batch.column(0), "n": n, "digest": digest, "sig": sig, "bins": parts}
+
+    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "id long, n long, digest binary, sig array<int>, bins binary", run)
+
+
+def _node(tree: Column, *path: Column) -> Column:
+    """The name of a node; its last four bits are its tree."""
+    return F.shiftleft(F.xxhash64(*path), 4).bitwiseOR(tree.cast("long"))
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "id long, n long, digest binary, sig array<int>", run)
+
+def _tree(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(15))
 
 
 def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Small nodes (key, rep), and the nodes that stay large (key, rep, n)."""
     roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * BRANCHES + j).alias("c")) for t in range(TREES) for j in range(BRANCHES)))
-    rows = reps.select("rep", F.explode(F.transform(roots, lambda x: F.xxhash64(x["t"], x["c"], F.get("sig", x["c"])))).alias("key"))
+    rows = reps.select("rep", F.explode(F.transform(roots, lambda x: _node(x["t"], x["c"], F.get("sig", x["c"])))).alias("key"))
     small: list[DataFrame] = []
     first = TREES * BRANCHES
     for level in range(DEPTH + 1):
@@ -123,38 +160,41 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         if level < DEPTH:
             steps = F.transform(F.array(*map(F.lit, range(BRANCHES))), lambda j: F.struct(j.alias("j"), (F.pmod(F.xxhash64("key", j), F.lit(COORDS - first)) + first).cast("int").alias("c")))
-            rows = large.join(reps, "rep").select("rep", F.explode(F.transform(steps, lambda x: F.xxhash64("key", x["j"], x["c"], F.get("sig", x["c"])))).alias("key"))
+            rows = large.join(reps, "rep").select("rep", F.explode(F.transform(steps, lambda x: _node(_tree("key"), F.col("key"), x["j"], x["c"], F.get("sig", x["c"])))).alias("key"))
     out = small[0]
     for other in small[1:]:
         out = out.unionByName(other)
     return out, large
 
 
-def _propose(nodes: DataFrame, last: bool) -> DataFrame:
-    """Pairs (a, b) to confirm and each node's hub: kind 0 is a pair, kind 1 is (hub a, sixths of the node that resemble it b)."""
+def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
+    """What nodes propose. ``hubs``: each node's hub a, and in b the sixths of the node that resemble it; ``stars``: pairs (a, b)
+    of a document and a hub b of its neighbourhood; ``all``: all pairs. Pairs are of different labels."""
 
-    def judge(key: int, rep: np.ndarray, label: np.ndarray, sig: np.ndarray, out: list) -> None:
-        alike = np.zeros((len(rep), len(rep)), np.uint8)
-        for c in range(COORDS):
-            alike += sig[:, None, c] == sig[None, :, c]
-        near = alike >= LIKELY
+    def judge(key: int, rep: np.ndarray, label: np.ndarray, sets: np.ndarray, out: list) -> None:
+        void, rows = np.packbits(sets == 0, axis=1), range(0, len(rep), 16)
+        equal = np.concatenate([(sets[k : k + 16, None] == sets[None]).sum(axis=2, dtype=np.int32) for k in rows])
+        neither = np.concatenate([np.bitwise_count(void[k : k + 16, None] & void[None]).sum(axis=2, dtype=np.int32) for k in rows])
+        near = _likely(equal, neither, percent)
         # coarse degrees: among near copies of each other, nodes then agree on the smallest ids as hubs, so that
         # the pairs of all nodes are few; the middle of a star still stands out
         degree = near.sum(axis=1) * 6 // len(rep)
-        top = int(np.lexsort((rep, -degree))[0])
-        out.append((key, 1, rep[top], int(degree[top])))
+        if what == "hubs":
+            top = int(np.lexsort((rep, -degree))[0])
+            out.append((key, rep[top], int(degree[top])))
+            return
         near &= label[:, None] != label[None, :]
         if not near.any():
             return
-        if last:
+        if what == "all":
             for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-                out.append((key, 0, max(rep[x], rep[y]), min(rep[x], rep[y])))
+                out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y])))
             return
         todo = near.any(axis=1)
         for x in np.lexsort((rep, -degree)):
             if todo[x]:
                 for y in np.flatnonzero(near[x]):
-                    out.append((key, 0, rep[y], rep[x]))
+                    out.append((key, rep[y], rep[x]))
                 todo[x] = False
                 todo &= ~near[x]
 
@@ -173,17 +213,17 @@ def _propose(nodes: DataFrame, last: bool) -> DataFrame:
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         keys, rep, label = (t.column(c).to_numpy() for c in ("key", "rep", "label"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        sets = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
         edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
         out: list = []
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
-                judge(keys[a], rep[a:b], label[a:b], sig[a:b], out)
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["key", "kind", "a", "b"])
+                judge(keys[a], rep[a:b], label[a:b], sets[a:b], out)
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["key", "a", "b"])
 
-    parted = nodes.select("key", "rep", "label", "sig").repartition("key").sortWithinPartitions("key", "rep")
-    return parted.mapInArrow(run, "key long, kind int, a long, b long")
+    parted = nodes.select("key", "rep", "label", "bins").repartition("key").sortWithinPartitions("key", "rep")
+    return parted.mapInArrow(run, "key long, a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +240,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
         at, sets = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for b, salt, a, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, salt, a, role, text in zip(*(map(_AS_PY, c) for c in batch.columns), strict=True):
                 s = shingles(text, words)
                 if role == 0:
                     sets = [*sets, s] if at == (b, salt) else [s]
@@ -235,38 +275,53 @@ def components(edges: DataFrame) -> DataFrame:
     return durable(e.select(F.col("u").alias("id"), F.col("v").alias("label")))
 
 
-def _alike(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= LIKELY
+def _seem_alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, of_a, of_b) whose sketches let them be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("of_a", "of_b"))
+            near = _likely((x == y).sum(axis=1), ((x == 0) & (y == 0)).sum(axis=1), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def _with_hubs(large: DataFrame, hubs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents of the large nodes with those hubs b of their nodes that they resemble."""
+    hubs = large.select("node", "key").distinct().join(hubs, "key").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("b")).alias("b"), "a"))), 1, HUBS).alias("hubs"))
+    hubs = hubs.select("node", F.explode("hubs").alias("hub")).select("node", F.col("hub.a").alias("b"))
+    met = large.select("node", F.col("rep").alias("a")).join(hubs, "node").where("a <> b").select("a", "b").distinct()
+    met = met.join(reps.select(F.col("rep").alias("a"), F.col("bins").alias("of_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("bins").alias("of_b")), "b")
+    return _seem_alike(met, percent)
 
 
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, label of the representatives that are linked with another."""
-    small, large = _nodes(reps)
+    small, large = _nodes(reps.select("rep", "sig"))
     nodes = small
     if large is not None:
-        block = F.xxhash64("key", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK)))
+        block = _node(_tree("key"), F.col("key"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK)))
         large = durable(large.select(F.col("key").alias("node"), block.alias("key"), "rep"))
         nodes = small.unionByName(large.select("key", "rep"))
-    nodes = durable(nodes.join(reps, "rep").select("key", "rep", "sig"))
+    nodes = durable(nodes.join(reps.select("rep", "bins"), "rep").select("key", "rep", "bins"))
     spark = docs.sparkSession
     found = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, label long")
-    for k in range(ROUNDS):
-        named = nodes.join(labels, nodes["rep"] == labels["id"], "left").select("key", "rep", "sig", F.coalesce("label", "rep").alias("label"))
-        proposed = durable(_propose(named, k == ROUNDS - 1))
-        pairs = proposed.where("kind = 0").select("a", "b")
-        if large is not None and k == 0:
-            hubs = large.select("node", "key").distinct().join(proposed.where("kind = 1"), "key").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("b")).alias("b"), "a"))), 1, HUBS).alias("hubs"))
-            hubs = hubs.select("node", F.explode("hubs").alias("hub")).select("node", F.col("hub.a").alias("b"))
-            hubs = hubs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("hub_sig")), "b")
-            met = large.select("node", F.col("rep").alias("a")).join(hubs, "node").where("a <> b").join(reps.select(F.col("rep").alias("a"), "sig"), "a")
-            pairs = pairs.union(met.where(_alike(F.col("sig"), F.col("hub_sig"))).select("a", "b"))
-        pairs = pairs.where("a <> b").dropDuplicates(["a", "b"])
+    rounds = [("stars", nodes.where(_tree("key") == 0)), ("stars", nodes), ("all", nodes)]
+    if large is not None:
+        rounds.insert(0, ("hubs", nodes.join(large.select("key").distinct(), "key", "left_semi")))
+    for what, named in rounds:
+        named = named.join(labels, named["rep"] == labels["id"], "left").select("key", "rep", "bins", F.coalesce("label", "rep").alias("label"))
+        pairs = _propose(named, what, percent)
+        if what == "hubs":
+            pairs = _with_hubs(large, pairs, reps, percent)
+        pairs = pairs.select("a", "b").where("a <> b").dropDuplicates(["a", "b"])
         pairs = durable(pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue
         found = durable(found.union(confirm(pairs, docs, words, percent, id_col, text_col)))
-        tried = durable(tried.union(pairs)) if k else pairs
+        tried = durable(tried.union(pairs))
         labels = components(found)
     return labels
 
@@ -274,11 +329,11 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: st
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     rows = durable(sketch(docs, words, id_col, text_col))
-    reps = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    reps = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
     reps = durable(reps)
-    labels = links(docs, reps.select("rep", "sig"), words, percent, id_col, text_col)
+    labels = links(docs, reps.select("rep", "sig", "bins"), words, percent, id_col, text_col)
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = rows.drop("sig").join(named, "digest", "left")
+    out = rows.drop("sig", "bins").join(named, "digest", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
