@@ -36,14 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspan.llm.common import LOWER, UPPER, by_batch, durable
+from quillspan.llm.common import LOWER, UPPER, by_batch, durable, release
 
 TREES, BRANCHES, DEPTH, SMALL, BLOCK = 4, 2, 3, 64, 256
 #: Coordinates of a signature; the first TREES * BRANCHES are for the roots.
 COORDS = 48
 #: Bytes of a sketch, and how many standard deviations under the wanted similarity a pair may seem.
 BINS, DEVIATIONS = 384, 3.5
-HUBS, SALTS = 3, 64
+HUBS, SALTS = 1, 64
 #: Ids up to this number are broadcast to filter the texts (some MB), more are joined.
 BROADCAST_IDS = 200_000
 
@@ -267,6 +267,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+        release(e)
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -323,6 +324,7 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: st
         found = durable(found.union(confirm(pairs, docs, words, percent, id_col, text_col)))
         tried = durable(tried.union(pairs))
         labels = components(found)
+        release(labels)
     return labels
 
 
