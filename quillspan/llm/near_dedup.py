@@ -12,9 +12,10 @@ A sketch has a byte for each of BINS ranges of the hash: of the smallest hash th
 that either set reaches estimate the similarity; pairs more than 3.5 standard deviations under 0.8 are not confirmed.
 
 Nodes don't emit all their pairs. First the documents of large nodes meet the hubs; then, in the first tree and again in
-all trees, every document is paired with the hubs of its neighbourhood; the last round takes all pairs that are left. In
-each round the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are
-looked at in the next. A pair whose ends are already joined by confirmed links can't change the result.
+all trees, the hubs of each neighbourhood meet the documents that resemble them, of every other component the one most
+like; the last round takes all pairs that are left, each in the first node that both its documents are in. In each round
+the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are looked at in
+the next. A pair whose ends are already joined by confirmed links can't change the result.
 
 A pair of similarity 0.8 meets in a tree with probability 0.93 or more, in one of TREES with 0.99997.
 
@@ -34,7 +35,7 @@ from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan.llm.common import LOWER, UPPER, by_batch, durable, release
 
@@ -169,9 +170,10 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
     """What nodes propose. ``hubs``: each node's hub a, and in b the sixths of the node that resemble it; ``stars``: pairs (a, b)
-    of a document and a hub b of its neighbourhood; ``all``: all pairs. Pairs are of different labels."""
+    of a hub b and a document of its neighbourhood, one of each label; ``all``: all pairs, but for those that meet in an
+    earlier node as well. Pairs are of different labels."""
 
-    def judge(key: int, rep: np.ndarray, label: np.ndarray, sets: np.ndarray, out: list) -> None:
+    def judge(key: int, rep: np.ndarray, label: np.ndarray, sets: np.ndarray, earlier: list, out: list) -> None:
         void, rows = np.packbits(sets == 0, axis=1), range(0, len(rep), 16)
         equal = np.concatenate([(sets[k : k + 16, None] == sets[None]).sum(axis=2, dtype=np.int32) for k in rows])
         neither = np.concatenate([np.bitwise_count(void[k : k + 16, None] & void[None]).sum(axis=2, dtype=np.int32) for k in rows])
@@ -183,17 +185,23 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
             top = int(np.lexsort((rep, -degree))[0])
             out.append((key, rep[top], int(degree[top])))
             return
-        near &= label[:, None] != label[None, :]
-        if not near.any():
+        apart = near & (label[:, None] != label[None, :])
+        if not apart.any():
             return
         if what == "all":
-            for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-                out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y])))
+            before = [set(e) for e in earlier]
+            for x, y in zip(*np.nonzero(np.triu(apart, 1)), strict=True):
+                if before[x].isdisjoint(before[y]):
+                    out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y])))
             return
-        todo = near.any(axis=1)
+        # documents of the hub's own component are covered too, so that a component doesn't send each of its documents
+        todo = apart.any(axis=1)
         for x in np.lexsort((rep, -degree)):
             if todo[x]:
-                for y in np.flatnonzero(near[x]):
+                met = np.flatnonzero(apart[x])
+                alike = (equal[x, met] - neither[x, met]) / (BINS - neither[x, met])
+                met = met[np.lexsort((rep[met], -alike))]
+                for y in met[np.unique(label[met], return_index=True)[1]]:
                     out.append((key, rep[y], rep[x]))
                 todo[x] = False
                 todo &= ~near[x]
@@ -214,15 +222,21 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
     def pairs(t: pa.Table) -> pa.RecordBatch:
         keys, rep, label = (t.column(c).to_numpy() for c in ("key", "rep", "label"))
         sets = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        earlier = t.column("earlier").to_pylist()
         edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
         out: list = []
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
-                judge(keys[a], rep[a:b], label[a:b], sets[a:b], out)
+                judge(keys[a], rep[a:b], label[a:b], sets[a:b], earlier[a:b], out)
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["key", "a", "b"])
 
-    parted = nodes.select("key", "rep", "label", "bins").repartition("key").sortWithinPartitions("key", "rep")
+    if what == "all":  # a document is in TREES * BRANCHES ** (DEPTH + 1) nodes at most
+        mine = F.collect_list("key").over(Window.partitionBy("rep"))
+        nodes = nodes.withColumn("mine", mine).withColumn("earlier", F.filter("mine", lambda k: k < F.col("key")))
+    else:
+        nodes = nodes.withColumn("earlier", F.array().cast("array<long>"))
+    parted = nodes.select("key", "rep", "label", "bins", "earlier").repartition("key").sortWithinPartitions("key", "rep")
     return parted.mapInArrow(run, "key long, a long, b long")
 
 
