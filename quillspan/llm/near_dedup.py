@@ -4,20 +4,23 @@ Documents with the same shingle set become one representative. Independent trees
 minwise tokens: the root of a tree takes BRANCHES coordinates of the signature, and a node goes on with
 BRANCHES more, picked by its path, for as long as it holds more than SMALL documents, DEPTH levels at most. Documents
 of a small node are compared exhaustively by their sketches. What is still large at the
-last level holds documents that are much alike, such as thousands of near copies; it is dealt into blocks of
-bounded size, other blocks for every node, and besides each of its documents meets the node's hubs, the
-documents that most others resemble.
+last level holds documents that are much alike, such as thousands of near copies. It is dealt into blocks of
+bounded size, other blocks for every node, and besides each of its documents meets the node's hub, the
+document that most others resemble; these only join most of the documents early. Whole is the join that comes last: all
+documents of such nodes are joined by the prefix filter on their full shingle sets, rare shingles first, so that any two
+of them that are similar enough share a shingle of their prefixes and are compared there.
 
 A sketch has a byte for each of BINS ranges of the hash: of the smallest hash there, or 0. Equal bytes among the ranges
 that either set reaches estimate the similarity; pairs more than 3.5 standard deviations under 0.8 are not confirmed.
 
 Nodes don't emit all their pairs. First the documents of large nodes meet the hubs; then, in the first tree and again in
 all trees, the hubs of each neighbourhood meet the documents that resemble them, of every other component the one most
-like; the last round takes all pairs that are left, each in the first node that both its documents are in. In each round
-the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are looked at in
+like; then come all pairs that are left in small nodes, each in the first node that both its documents are in, and last those
+of the prefix join. In each round the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are looked at in
 the next. A pair whose ends are already joined by confirmed links can't change the result.
 
-A pair of similarity 0.8 meets in a tree with probability 0.93 or more, in one of TREES with 0.99997.
+A pair of similarity 0.8 meets in a node of a tree with probability 0.93 or more, in one of TREES with 0.99997; in a small
+node and in the prefix join, every pair that meets is compared.
 
 Nothing of this is gathered on the driver; every loop cuts its lineage with a checkpoint.
 
@@ -45,6 +48,8 @@ COORDS = 48
 #: Bytes of a sketch, and how many standard deviations under the wanted similarity a pair may seem.
 BINS, DEVIATIONS = 384, 3.5
 HUBS, SALTS = 1, 64
+#: Documents of one shingle that the prefix join compares in one place; more are dealt into pairs of blocks of this size.
+TILE = 1024
 #: Ids up to this number are broadcast to filter the texts (some MB), more are joined.
 BROADCAST_IDS = 200_000
 
@@ -311,6 +316,77 @@ def _with_hubs(large: DataFrame, hubs: DataFrame, reps: DataFrame, percent: int)
     return _seem_alike(met, percent)
 
 
+def _prefixes(docs: DataFrame, ids: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, n, token, at: the shingles in the prefixes of the documents ``ids``, by their place in the order of all shingles, rare ones first."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ids, "rep", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), map(_AS_PY, batch.column(1)), strict=True):
+                s = shingles(text, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x, np.int64)) for x in (rep, len(s))] + [pa.array(s)], names=["rep", "n", "token"])
+
+    tokens = durable(texts.dropDuplicates(["rep"]).mapInArrow(run, "rep long, n long, token long"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    ranked = tokens.join(often, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+    # the larger of two sets shares percent of its own size at least
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    return ranked.select("rep", "n", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "x")).select("rep", "n", F.col("x.token").alias("token"), "at")
+
+
+def _by_prefix(prefixes: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a shingle of their prefixes and can be similar enough."""
+    rows = prefixes.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "docs")
+    rows = rows.join(mixed, "token").withColumn("blocks", F.ceil(F.col("docs") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "at", "label").join(reps.select("rep", "bins"), "rep")
+
+    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, rep, n, at, label = (t.column(c).to_numpy() for c in ("block", "rep", "n", "at", "label"))
+        apart = t.column("i")[0] != t.column("j")[0]
+        sets = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        # the smaller of two sets is met in a shorter prefix
+        for x in range(0, len(rep), 256):
+            few = np.arange(x, min(x + 256, len(rep)))
+            few = few[at[few] <= n[few] - -(-2 * percent * n[few] // (100 + percent))]
+            p, q = few[:, None], np.arange(len(rep))[None]
+            fits = (label[p] != label[q]) & ((n[p] < n[q]) | ((n[p] == n[q]) & (rep[p] < rep[q]))) & (100 * n[p] >= percent * n[q])
+            # where two sets meet first, what comes after must be enough
+            fits &= (100 + percent) * np.minimum(n[p] - at[p], n[q] - at[q]) >= percent * (n[p] + n[q])
+            if apart:
+                fits &= block[p] != block[q]
+            u, v = np.nonzero(fits)
+            u = few[u]
+            for k in range(0, len(u), 8192):
+                a, b = u[k : k + 8192], v[k : k + 8192]
+                s, r = sets[a], sets[b]
+                near = _likely((s == r).sum(axis=1), ((s == 0) & (r == 0)).sum(axis=1), percent)
+                a, b = rep[a[near]], rep[b[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            cuts = _cuts(rest)
+            for a, b in zip(cuts, cuts[1:-1], strict=False):
+                yield from judge(rest.slice(a, b - a))
+            rest = rest.slice(cuts[-2])
+        if rest is not None and len(rest):
+            yield from judge(rest)
+
+    parted = tiles.select("token", "i", "j", "block", "rep", "n", F.col("at").cast("long").alias("at"), "label", "bins").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
+    return parted.mapInArrow(run, "a long, b long")
+
+
+def _cuts(t: pa.Table) -> list[int]:
+    """Where the tiles of a table begin, and its end."""
+    keys = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
+    return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
+
+
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, label of the representatives that are linked with another."""
     small, large = _nodes(reps.select("rep", "sig"))
@@ -325,10 +401,15 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: st
     labels = spark.createDataFrame([], "id long, label long")
     rounds = [("stars", nodes.where(_tree("key") == 0)), ("stars", nodes), ("all", nodes)]
     if large is not None:
-        rounds.insert(0, ("hubs", nodes.join(large.select("key").distinct(), "key", "left_semi")))
+        blocks = large.select("key").distinct()
+        rounds[-1] = "all", nodes.join(blocks, "key", "left_anti")
+        rounds = [("hubs", nodes.join(blocks, "key", "left_semi")), *rounds, ("prefix", None)]
     for what, named in rounds:
-        named = named.join(labels, named["rep"] == labels["id"], "left").select("key", "rep", "bins", F.coalesce("label", "rep").alias("label"))
-        pairs = _propose(named, what, percent)
+        if what == "prefix":
+            pairs = _by_prefix(_prefixes(docs, large.select("rep").distinct(), words, percent, id_col, text_col), labels, reps, percent)
+        else:
+            named = named.join(labels, named["rep"] == labels["id"], "left").select("key", "rep", "bins", F.coalesce("label", "rep").alias("label"))
+            pairs = _propose(named, what, percent)
         if what == "hubs":
             pairs = _with_hubs(large, pairs, reps, percent)
         pairs = pairs.select("a", "b").where("a <> b").dropDuplicates(["a", "b"])

@@ -160,6 +160,27 @@ def test_near_dedup_against_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("tile", [1024, 32])
+def test_near_dedup_of_a_large_family(spark, monkeypatch, tile):
+    # all texts share a template, at less than 0.8; blocks of a large node alone rarely hold both of a pair
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(158)]
+    tails = [[f"u{k}x{j}" for j in range(24)] for k in range(260)]
+    rows = [(k, " ".join(template + tail)) for k, tail in enumerate(tails)]
+    rows += [(1000 + k, " ".join(template + tails[k][: rng.choice((20, 21, 22))])) for k in range(40)]
+    sets = {k: set(near_dedup.shingles(t, 5).tolist()) for k, t in rows}
+    assert all(100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]) for a in range(0, 40) for b in range(a))
+    want = {k: k - 1000 if k >= 1000 else k for k in sets}
+    assert all(100 * len(sets[k] & sets[v]) >= 80 * len(sets[k] | sets[v]) for k, v in want.items())
+    for a in sets:
+        for b in sets:
+            assert want[a] == want[b] or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_line_dedup(spark):
     rows = [(k, f"unique words number {'abcdefgh'[k]} here\nShared footer line {k} of the site\n\nok") for k in range(4)] + [(9, "Shared footer line 77 of the site\nAll words of one")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
