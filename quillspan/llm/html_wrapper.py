@@ -6,10 +6,10 @@ come back after others make their parent's content one repeated group of optiona
 become slots. Alignment is associative, so partitions align their own pages first and hand on one wrapper per
 host; a host with a third of all pages costs as many merges as there are partitions, no more.
 
-The wrapper then says which slots carry the article: those under an article or main element, or, where no
-page has one, under the deepest element with most of the host's unlinked slot text, without what the tags or names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and, outside an article, without texts that all of
-at least CONSTANT pages share. Pages are read by the slots' paths.
+A host has two wrappers: one of the pages with text under an article or main element, one of the others. The first keeps all
+texts under such elements; the second all slots, but for texts that are mostly links and those that all of at least
+CONSTANT pages share. Both leave out what the tags or names mark as menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments. Pages are read by the slots' paths.
 
 Defined results: null html gives an empty text; a page without host has the wrapper of all such pages; repeated rows are
 read alike; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -21,6 +21,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,8 +33,8 @@ from quillspan.llm.url_filter import host_and_path
 CONSTANT = 5
 #: Differently named siblings of one tag before their names count as a slot too.
 NAMES = 32
-#: Share of the unlinked slot text that the main element must hold where none is marked up.
-MOST = 0.6
+#: Share of a text that may be links outside an article.
+LINKED = 0.6
 #: Bytes of kept paths up to which they are broadcast; beyond it pages are joined with them by host.
 BROADCAST_BYTES = 8_000_000
 
@@ -242,46 +243,46 @@ def _is_main(name: str) -> bool:
     return tag in MAIN or any(n in MAIN_NAMES or n == "main" and tag != "body" for n in names.lower().split())
 
 
-def kept_paths(w: dict) -> list[str]:
-    """Paths, joined by newlines, of the elements whose texts are the article's."""
-    found: list[tuple[tuple[str, ...], dict, bool, int]] = []
+def _texts(w: dict) -> Iterator[tuple[tuple[str, ...], dict, bool]]:
+    """(path, element, whether it is in an article) of the elements with text that nothing marks as not of the article."""
 
-    def walk(e: dict, path: tuple[str, ...], in_main: bool) -> None:
+    def walk(e: dict, path: tuple[str, ...], in_main: bool) -> Iterator[tuple[tuple[str, ...], dict, bool]]:
+        if e["t"] is not None:
+            yield path, e, in_main
         for name, m in e["k"].items():
             if not _is_out(name, in_main):
-                inside = in_main or _is_main(name)
-                here = (*path, name)
-                if m["t"] is not None and m["l"] <= 0.6 * m["c"]:
-                    found.append((here, m, inside, m["c"] - m["l"]))
-                walk(m, here, inside)
-
-    walk(w, (), False)
-    if w["t"] is not None:
-        found.append(((), w, False, w["c"] - w["l"]))
-    if any(inside for _, _, inside, _ in found):
-        return ["\n".join(p) for p, _, inside, _ in found if inside]
-    slots = [(p, mass) for p, m, _, mass in found if m["t"] is True or m["n"] < CONSTANT]
-    total, top = sum(mass for _, mass in slots), ()
-    while True:
-        under: dict[tuple[str, ...], int] = {}
-        for p, mass in slots:
-            if len(p) > len(top) and p[: len(top)] == top:
-                under[p[: len(top) + 1]] = under.get(p[: len(top) + 1], 0) + mass
-        best = max(under, key=lambda p: under[p], default=None)
-        if best is None or under[best] < MOST * total or any(p == best for p, _ in slots):
-            break
-        top = best
-    return ["\n".join(p) for p, _ in slots if p[: len(top)] == top]
-
-
-def main_text(page: str | None, paths: set[str]) -> str:
-    """The texts at ``paths``, in page order."""
+                yield from walk(m, (*path, name), in_main or _is_main(name))
+
+    return walk(w, (), False)
+
+
+def has_article(w: dict) -> bool:
+    return any(inside for _, _, inside in _texts(w))
+
+
+def kept_paths(w: dict) -> list[str]:
+    """Paths, joined by newlines, of the elements whose texts are the article's; the pages of ``w`` all have an article, or none has."""
+    found = list(_texts(w))
+    if any(inside for _, _, inside in found):
+        return ["\n".join(p) for p, _, inside in found if inside]
+    return ["\n".join(p) for p, m, _ in found if m["l"] <= LINKED * m["c"] and (m["t"] is True or m["n"] < CONSTANT)]
+
+
+def main_text(found: list[tuple], paths: set[str]) -> str:
+    """The texts at ``paths`` of a page's blocks, in page order."""
     open_ended = {p for p in paths if ".*" in p}
-    found = []
-    for path, text, _, _ in blocks(page):
-        if text and ("\n".join(path) in paths or (open_ended and _matches(path, open_ended))):
-            found.append(text)
-    return "\n\n".join(found)
+    return "\n\n".join(text for path, text, _, _ in found if text and ("\n".join(path) in paths or (open_ended and _matches(path, open_ended))))
+
+
+@lru_cache(100_000)
+def _in_article(path: tuple[str, ...]) -> bool:
+    """What has_article asks, of one text."""
+    inside = False
+    for name in path:
+        if _is_out(name, inside):
+            return False
+        inside = inside or _is_main(name)
+    return inside
 
 
 def _matches(path: tuple[str, ...], patterns: set[str]) -> bool:
@@ -289,40 +290,44 @@ def _matches(path: tuple[str, ...], patterns: set[str]) -> bool:
 
 
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON), from all pages of each host."""
+    """host, article, wrapper (JSON), from all pages of each host with or without an article."""
     rows = pages.select(host_and_path(F.col(url))[0].alias("host"), F.col(html).cast("string").alias("html"))
-    out = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+    out = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("wrapper", pa.string())])
+
+    def rows_of(known: dict[tuple, dict]) -> pa.RecordBatch:
+        cols = [h for h, _ in known], [a for _, a in known], [json.dumps(w) for w in known.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[tuple, dict] = {}
         for batch in batches:
             for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 now = wrapper_of(page)
-                known[host] = align(known[host], now) if host in known else now
+                key = host, has_article(now)
+                known[key] = align(known[key], now) if key in known else now
             if len(known) > 20_000:  # many small hosts: hand on what there is
-                yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()])], schema=out)
+                yield rows_of(known)
                 known = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], schema=out)
+        yield rows_of(known)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now = None, None
         for batch in batches:
-            hosts, wrappers = [], []
-            for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if host == at:
+            done: dict[tuple, dict] = {}
+            for host, article, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, article) == at:
                     now = align(now, json.loads(text))
                 else:
                     if now is not None:
-                        hosts.append(at)
-                        wrappers.append(json.dumps(now))
-                    at, now = host, json.loads(text)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(wrappers, pa.string())], schema=out)
+                        done[at] = now
+                    at, now = (host, article), json.loads(text)
+            yield rows_of(done)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([json.dumps(now)], pa.string())], schema=out)
+            yield rows_of({at: now})
 
-    kind = "host string, wrapper string"
+    kind = "host string, article boolean, wrapper string"
     partial = rows.mapInArrow(local, kind)
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, kind)
+    return partial.repartition("host", "article").sortWithinPartitions("host", "article", "wrapper").mapInArrow(merge, kind)
 
 
 _PATHS: dict[str, set[str]] = {}
@@ -331,22 +336,24 @@ _PATHS: dict[str, set[str]] = {}
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars."""
     wrappers = host_wrappers(pages, url, html)
-    kept = durable(by_batch(wrappers, "host string, paths string", lambda b: {"host": b.column(0), "paths": [json.dumps(kept_paths(json.loads(w))) for w in b.column(1).to_pylist()]}))
-    size = kept.agg(F.coalesce(F.sum(F.length("host") + F.length("paths")), F.lit(0))).first()[0]
+    read = by_batch(wrappers, "host string, article boolean, paths string", lambda b: {"host": b.column(0), "article": b.column(1), "paths": [json.dumps(kept_paths(json.loads(w))) for w in b.column(2).to_pylist()]})
+    kept = durable(read.groupBy("host").agg(F.max(F.when(F.col("article"), F.col("paths"))).alias("of_articles"), F.max(F.when(~F.col("article"), F.col("paths"))).alias("of_others")))
+    size = kept.agg(F.coalesce(F.sum(F.length("host") + sum(F.coalesce(F.length(c), F.lit(0)) for c in ("of_articles", "of_others"))), F.lit(0))).first()[0]
     rows = pages.select(F.col(id_col), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).withColumn("host", host_and_path(F.col("url"))[0])
     joined = rows.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, "host", "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         texts = []
-        for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            paths = paths or "[]"
+        for page, *both in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            found = list(blocks(page))
+            paths = both[0 if any(text and _in_article(path) for path, text, _, _ in found) else 1] or "[]"
             if len(_PATHS) > 5000:
                 _PATHS.clear()
             known = _PATHS.get(paths)
             if known is None:
                 known = _PATHS[paths] = set(json.loads(paths))
-            texts.append(main_text(page, known))
+            texts.append(main_text(found, known))
         return {id_col: batch.column(0), "url": batch.column(1), "text": texts, "n_chars": list(map(len, texts))}
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return by_batch(joined.select(id_col, "url", "html", "paths"), f"`{id_col}` {kind}, url string, text string, n_chars long", run)
+    return by_batch(joined.select(id_col, "url", "html", "of_articles", "of_others"), f"`{id_col}` {kind}, url string, text string, n_chars long", run)

@@ -209,6 +209,18 @@ def test_html(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_mixed_templates(spark):
+    marked = "<body><article><div><p>body {0}</p></div><div><p>rest {0}</p></div><ul><li><a href=1>source {0}</a></ul></article></body>"
+    other = "<body><div class=content><p>words of page {0}</p></div></body>"
+    beside = "<body><div class=title>title {0}</div><div class=text><p>quite a long text of page {0}</p></div><div><a href=1>link {0}</a></div></body>"
+    rows = [(k, f"http://a.com/{k}", (other if k == 3 else marked).format(k)) for k in range(9)] + [(k, None, (other if k % 2 else marked).format(k)) for k in range(10, 16)]
+    rows += [(k, f"http://b.org/{k}", (other if k == 23 else beside).format(k)) for k in range(20, 29)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "body 1\n\nrest 1\n\nsource 1" and got[10] == "body 10\n\nrest 10\n\nsource 10"
+    assert got[3] == "words of page 3" and got[11] == "words of page 11" and got[23] == "words of page 23"
+    assert got[21] == "title 21\n\nquite a long text of page 21"
+
+
 def test_wrapper_alignment():
     w = html_wrapper.align(html_wrapper.wrapper_of("<ul><li>a<li>b</ul><p>x</p>"), html_wrapper.wrapper_of("<ul><li>a</ul><h2>t</h2><p>y</p>"))
     assert html_wrapper.expression(w) == "<ul>(<li>#</li>)+</ul> (<h2>'t'</h2>)? <p>#</p>"
