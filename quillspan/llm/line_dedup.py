@@ -43,7 +43,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """key, first: the templates of at least ``min_docs`` documents, and the document that keeps them."""
-    once = keyed.dropDuplicates(["id", "h"]) if min_docs < 2 else keyed
+    once = keyed
+    if min_docs > 1:  # few tables repeat rows; the others are spared the shuffle of their keys
+        again = keyed.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        once = keyed if again.isEmpty() else keyed.dropDuplicates(["id", "h"])
     rows = once.select("id", "h", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h")).alias("first")).where(F.col("n") >= min_docs).select("key", "first")
 

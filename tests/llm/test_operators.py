@@ -187,6 +187,12 @@ def test_line_dedup(spark):
     assert "footer" in got[0] and all("footer" not in got[k] and "unique words" in got[k] for k in (1, 2, 3)) and got[9] == "All words of one"
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    twice, other = "A line that both of them share\nfirst one alone", "A line that both of them share\nsecond one alone"
+    rows = line_dedup.dedup_lines(frame(spark, [(1, twice), (1, twice), (1, twice), (2, other)]), min_docs=3).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, twice)] * 3 + [(2, other)]
+
+
 def test_secret_scan(spark):
     text = "x token=token=abcdefgh secret=token:abcdefgh é password: 'abc123456' AKIA" + "Q" * 16 + " " + "0a" * 12
     r = secret_scan.scan(frame(spark, [(1, text)])).first()
