@@ -52,10 +52,8 @@ def _hits(m: Column, term: Column) -> Column:
     low, needle = F.lower(m), F.lower(term)
     gaps = F.split(low, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
     n = F.length(needle)
-    kind = "array<struct<start:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda acc, g: F.struct((acc["at"] + F.length(g) + n).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(g)).alias("start"), (acc["at"] + F.length(g) + n).alias("end")))).alias("out"))
-    found = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), zero, step, lambda acc: acc["out"])
+    place = lambda g, at: F.struct((at + F.length(g)).alias("start"), (at + F.length(g) + n).alias("end"))
+    found = T.let(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.zip_with(g, T.running(F.transform(g, lambda x: F.length(x) + n)), place))
     edge = lambda at: ~F.substring(low, at, 1).rlike(r"^[\p{L}\p{N}]")
     return F.filter(found, lambda h: ((h["start"] == 0) | edge(h["start"])) & edge(h["end"] + 1))
 
