@@ -3,24 +3,26 @@
 Documents with the same shingle set become one representative. Independent trees branch the representatives by
 minwise tokens: the root of a tree takes BRANCHES coordinates of the signature, and a node goes on with
 BRANCHES more, picked by its path, for as long as it holds more than SMALL documents, DEPTH levels at most. Documents
-of a small node are compared exhaustively by their sketches. What is still large at the
-last level holds documents that are much alike, such as thousands of near copies. It is dealt into blocks of
-bounded size, other blocks for every node, and besides each of its documents meets the node's hub, the
-document that most others resemble; these only join most of the documents early. Whole is the join that comes last: all
-documents of such nodes are joined by the prefix filter on their full shingle sets, rare shingles first, so that any two
-of them that are similar enough share a shingle of their prefixes and are compared there.
+of a small node are compared exhaustively by their sketches. Documents of a large root first meet the root's hub, the
+document that most others in its block of bounded size resemble, and what is confirmed joins most of thousands of near
+copies. A large root branches on if its documents are less than 1 / BRANCHES alike on average, so that the next level makes
+fewer rows. Branching can't part documents that are more alike, such as near copies, or pages of one template that are not quite
+similar enough. Where such a node, or one that is still large at the last level, is of one component already, no pair in it can
+change the result. Where all but SMALL of its documents are, it is compared exhaustively: it is dealt into blocks, and the
+few others meet every block. Of the rest, all documents are joined by the prefix filter on their full shingle sets, rare
+shingles first, so that any two that are similar enough share a shingle of their prefixes and are compared there.
 
 A sketch has a byte for each of BINS ranges of the hash: of the smallest hash there, or 0. Equal bytes among the ranges
 that either set reaches estimate the similarity; pairs more than 3.5 standard deviations under 0.8 are not confirmed.
 
-Nodes don't emit all their pairs. First the documents of large nodes meet the hubs; then, in the first tree and again in
+Nodes don't emit all their pairs. After the hubs, in the first tree and again in
 all trees, the hubs of each neighbourhood meet the documents that resemble them, of every other component the one most
-like; then come all pairs that are left in small nodes, each in the first node that both its documents are in, and last those
+like; then come all pairs that are left in small nodes, each in the first node that both its documents are in, then those in blocks, and last those
 of the prefix join. In each round the pairs are confirmed on the full shingle sets of the texts, and only pairs from different components are looked at in
 the next. A pair whose ends are already joined by confirmed links can't change the result.
 
 A pair of similarity 0.8 meets in a node of a tree with probability 0.93 or more, in one of TREES with 0.99997; in a small
-node and in the prefix join, every pair that meets is compared.
+node, in a node that is compared at once and in the prefix join, every pair that meets is compared.
 
 Nothing of this is gathered on the driver; every loop cuts its lineage with a checkpoint.
 
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from operator import methodcaller
 
 import numpy as np
@@ -47,11 +50,18 @@ TREES, BRANCHES, DEPTH, SMALL, BLOCK = 4, 2, 3, 64, 256
 COORDS = 48
 #: Bytes of a sketch, and how many standard deviations under the wanted similarity a pair may seem.
 BINS, DEVIATIONS = 384, 3.5
-HUBS, SALTS = 1, 64
+HUBS = 1
+#: Pairs of one hub that are confirmed in one place; a hub with more has as many places as that takes.
+MEMBERS = 64
 #: Documents of one shingle that the prefix join compares in one place; more are dealt into pairs of blocks of this size.
 TILE = 1024
 #: Ids up to this number are broadcast to filter the texts (some MB), more are joined.
 BROADCAST_IDS = 200_000
+#: Buckets in which the prefix join counts shingles (2 MB on the driver, at any size of the data), and how many are summed in one place.
+#: Any one order of the shingles is right; with large data, buckets still tell the very common ones, which matter.
+BUCKETS, PART = 2**18, 2**12
+#: Links up to this number are joined to components in one task (some 10 MB).
+FEW_EDGES = 100_000
 
 _AS_PY = methodcaller("as_py")
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -150,31 +160,40 @@ def _tree(key: str) -> Column:
     return F.col(key).bitwiseAND(F.lit(15))
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes (key, rep), and the nodes that stay large (key, rep, n)."""
+def _roots(reps: DataFrame) -> DataFrame:
+    """key, rep: the roots that each document is in."""
     roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * BRANCHES + j).alias("c")) for t in range(TREES) for j in range(BRANCHES)))
-    rows = reps.select("rep", F.explode(F.transform(roots, lambda x: _node(x["t"], x["c"], F.get("sig", x["c"])))).alias("key"))
-    small: list[DataFrame] = []
+    return reps.select("rep", F.explode(F.transform(roots, lambda x: _node(x["t"], x["c"], F.get("sig", x["c"])))).alias("key"))
+
+
+def _branched(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, rep: the children of nodes (key, rep)."""
     first = TREES * BRANCHES
-    for level in range(DEPTH + 1):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = durable(rows.join(sizes, "key").select("key", "rep", "n"))
-        small.append(rows.where(F.col("n") <= SMALL).select("key", "rep"))
-        large = rows.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            large = None
-            break
-        if level < DEPTH:
-            steps = F.transform(F.array(*map(F.lit, range(BRANCHES))), lambda j: F.struct(j.alias("j"), (F.pmod(F.xxhash64("key", j), F.lit(COORDS - first)) + first).cast("int").alias("c")))
-            rows = large.join(reps, "rep").select("rep", F.explode(F.transform(steps, lambda x: _node(_tree("key"), F.col("key"), x["j"], x["c"], F.get("sig", x["c"])))).alias("key"))
-    out = small[0]
-    for other in small[1:]:
-        out = out.unionByName(other)
-    return out, large
+    steps = F.transform(F.array(*map(F.lit, range(BRANCHES))), lambda j: F.struct(j.alias("j"), (F.pmod(F.xxhash64("key", j), F.lit(COORDS - first)) + first).cast("int").alias("c")))
+    return large.select("key", "rep").join(reps.select("rep", "sig"), "rep").select("rep", F.explode(F.transform(steps, lambda x: _node(_tree("key"), F.col("key"), x["j"], x["c"], F.get("sig", x["c"])))).alias("key"))
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """node, key, rep: the documents of large nodes (key, rep, n), each in a block of about BLOCK."""
+    block = _node(_tree("key"), F.col("key"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK)))
+    return large.select(F.col("key").alias("node"), block.alias("key"), "rep")
+
+
+def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the links found so far make of large nodes that don't branch (key, rep, n, label): the blocks (key, rep) of those in which one component
+    holds all but SMALL documents, and the nodes (key, rep, n) that hold more of others. Nodes of one component are in neither."""
+    groups = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = groups.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top")).select("key", F.col("top.c").alias("c"), F.col("top.label").alias("most"))
+    rows = durable(large.join(top, "key").where("n > c").withColumn("others", F.col("n") - F.col("c")))
+    few = rows.where(F.col("others") <= SMALL).withColumn("blocks", F.ceil(F.col("c") / (BLOCK - SMALL)))
+    # the few others meet every block, so that each of them meets all documents of the node
+    places = F.when(F.col("label") == F.col("most"), F.array(F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    blocks = few.select("rep", "key", F.explode(places).alias("block")).select(_node(_tree("key"), F.col("key"), F.col("block")).alias("key"), "rep")
+    return blocks, rows.where(F.col("others") > SMALL).select("key", "rep", "n")
 
 
 def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
-    """What nodes propose. ``hubs``: each node's hub a, and in b the sixths of the node that resemble it; ``stars``: pairs (a, b)
+    """What nodes propose. ``hubs``: each node's hub a, in b the sixths of the node that resemble it, and how alike its documents are on average; ``stars``: pairs (a, b)
     of a hub b and a document of its neighbourhood, one of each label; ``all``: all pairs, but for those that meet in an
     earlier node as well. Pairs are of different labels."""
 
@@ -188,16 +207,17 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
         degree = near.sum(axis=1) * 6 // len(rep)
         if what == "hubs":
             top = int(np.lexsort((rep, -degree))[0])
-            out.append((key, rep[top], int(degree[top])))
+            alike = (equal - neither) / (BINS - neither)
+            out.append((key, rep[top], int(degree[top]), (alike.sum() - len(rep)) / (len(rep) * (len(rep) - 1))))
             return
         apart = near & (label[:, None] != label[None, :])
         if not apart.any():
             return
-        if what == "all":
+        if what in ("all", "blocks"):
             before = [set(e) for e in earlier]
             for x, y in zip(*np.nonzero(np.triu(apart, 1)), strict=True):
                 if before[x].isdisjoint(before[y]):
-                    out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y])))
+                    out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y]), 0.0))
             return
         # documents of the hub's own component are covered too, so that a component doesn't send each of its documents
         todo = apart.any(axis=1)
@@ -207,7 +227,7 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
                 alike = (equal[x, met] - neither[x, met]) / (BINS - neither[x, met])
                 met = met[np.lexsort((rep[met], -alike))]
                 for y in met[np.unique(label[met], return_index=True)[1]]:
-                    out.append((key, rep[y], rep[x]))
+                    out.append((key, rep[y], rep[x], 0.0))
                 todo[x] = False
                 todo &= ~near[x]
 
@@ -233,8 +253,9 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
                 judge(keys[a], rep[a:b], label[a:b], sets[a:b], earlier[a:b], out)
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["key", "a", "b"])
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names=["key", "a", "b", "alike"])
 
     if what == "all":  # a document is in TREES * BRANCHES ** (DEPTH + 1) nodes at most
         mine = F.collect_list("key").over(Window.partitionBy("rep"))
@@ -242,13 +263,14 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
     else:
         nodes = nodes.withColumn("earlier", F.array().cast("array<long>"))
     parted = nodes.select("key", "rep", "label", "bins", "earlier").repartition("key").sortWithinPartitions("key", "rep")
-    return parted.mapInArrow(run, "key long, a long, b long")
+    return parted.mapInArrow(run, "key long, a long, b long, alike double")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
-    ids = durable(dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    degree = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    dealt = pairs.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    ids = durable(_merged(dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi"))
     members = dealt.join(texts, dealt["a"] == texts["id"]).select("b", "salt", "a", F.lit(1).alias("role"), "text")
@@ -274,13 +296,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     both = members.unionByName(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "a")
-    return both.select("b", "salt", "a", "role", "text").mapInArrow(run, "a long, b long").distinct()
+    return both.select("b", "salt", "a", "role", "text").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id of each component, by alternating large and small stars."""
-    e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    """id, label: the smallest id of each component. Up to FEW_EDGES edges are joined in one task, more by alternating large and small stars."""
+    e = durable(_merged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    if e.count() <= FEW_EDGES:
+        return durable(e.coalesce(1).mapInArrow(_in_one_task, "id long, label long"))
+    e, state = e.distinct(), None
     while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -295,6 +319,28 @@ def components(edges: DataFrame) -> DataFrame:
     return durable(e.select(F.col("u").alias("id"), F.col("v").alias("label")))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df``, of few and short rows, in no more partitions than there are cores."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label of the ids that edges (u, v) join with a smaller one."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+    found = [(x, t) for x in above if (t := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], names=["id", "label"])
+
+
 def _seem_alike(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, of_a, of_b) whose sketches let them be similar enough."""
 
@@ -316,22 +362,56 @@ def _with_hubs(large: DataFrame, hubs: DataFrame, reps: DataFrame, percent: int)
     return _seem_alike(met, percent)
 
 
+def _often(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur, by BUCKETS ranges of their hash: rows of a partition are summed before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in map(_AS_PY, batch.column(1)):
+                total += np.bincount(_bucket(shingles(text, words)), minlength=BUCKETS)
+        yield of(total)
+
+    def of(total: np.ndarray) -> pa.RecordBatch:
+        parts = [(k // PART, np.flatnonzero(x), x[x > 0]) for k in range(0, BUCKETS, PART) if (x := total[k : k + PART]).any()]
+        cols = list(zip(*parts, strict=True)) or [(), (), ()]
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names=["part", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[np.asarray(at) + part * PART] += n
+        yield of(total)
+
+    kind = "part int, at array<int>, n array<long>"
+    total = np.zeros(BUCKETS, np.int64)
+    for row in texts.mapInArrow(count, kind).repartition(BUCKETS // PART, "part").mapInArrow(add, kind).collect():
+        total[np.asarray(row.at) + row.part * PART] = row.n
+    return total
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 def _prefixes(docs: DataFrame, ids: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, n, token, at: the shingles in the prefixes of the documents ``ids``, by their place in the order of all shingles, rare ones first."""
+    """rep, n, token, at: the shingles in the prefixes of the documents ``ids``, by their place in one order of all shingles: those of rare buckets first."""
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ids, "rep", "left_semi")
+    texts = durable(texts.dropDuplicates(["rep"]))
+    often = docs.sparkSession.sparkContext.broadcast(_often(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, text in zip(batch.column(0).to_pylist(), map(_AS_PY, batch.column(1)), strict=True):
-                s = shingles(text, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x, np.int64)) for x in (rep, len(s))] + [pa.array(s)], names=["rep", "n", "token"])
+                s = shingles(text, words)
+                n = len(s)
+                # the larger of two sets shares percent of its own size at least
+                first = np.lexsort((s, often.value[_bucket(s)]))[: n + 1 - -(-percent * n // 100)] if n else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(first), rep, np.int64), np.full(len(first), n, np.int64), s[first].view(np.int64), np.arange(len(first)))], names=["rep", "n", "token", "at"])
 
-    tokens = durable(texts.dropDuplicates(["rep"]).mapInArrow(run, "rep long, n long, token long"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    ranked = tokens.join(often, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
-    # the larger of two sets shares percent of its own size at least
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    return ranked.select("rep", "n", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "x")).select("rep", "n", F.col("x.token").alias("token"), "at")
+    return durable(texts.mapInArrow(run, "rep long, n long, token long, at long"))
 
 
 def _by_prefix(prefixes: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -387,40 +467,68 @@ def _cuts(t: pa.Table) -> list[int]:
     return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
 
 
+class _Links:
+    """The links confirmed so far, and the components that they make."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str):
+        self.docs, self.reps, self.rule = docs, reps, (words, percent, id_col, text_col)
+        self.found = self.tried = docs.sparkSession.createDataFrame([], "a long, b long")
+        self.labels = docs.sparkSession.createDataFrame([], "id long, label long")
+
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with the label of each rep."""
+        return nodes.join(self.labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm those of ``pairs`` that were not tried before."""
+        pairs = pairs.select("a", "b").where("a <> b").dropDuplicates(["a", "b"])
+        tried = self.tried.toDF("x", "y")
+        pairs = durable(_merged(pairs.join(tried, (F.greatest("a", "b") == tried["x"]) & (F.least("a", "b") == tried["y"]), "left_anti")))
+        if pairs.isEmpty():
+            return
+        self.found = durable(_merged(self.found.union(confirm(pairs, self.docs, *self.rule))))
+        self.tried = durable(_merged(self.tried.union(pairs.select(F.greatest("a", "b"), F.least("a", "b")))))
+        self.labels = components(self.found)
+        release(self.labels)
+
+
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, label of the representatives that are linked with another."""
-    small, large = _nodes(reps.select("rep", "sig"))
-    nodes = small
-    if large is not None:
-        block = _node(_tree("key"), F.col("key"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK)))
-        large = durable(large.select(F.col("key").alias("node"), block.alias("key"), "rep"))
-        nodes = small.unionByName(large.select("key", "rep"))
-    nodes = durable(nodes.join(reps.select("rep", "bins"), "rep").select("key", "rep", "bins"))
-    spark = docs.sparkSession
-    found = tried = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "id long, label long")
-    rounds = [("stars", nodes.where(_tree("key") == 0)), ("stars", nodes), ("all", nodes)]
-    if large is not None:
-        blocks = large.select("key").distinct()
-        rounds[-1] = "all", nodes.join(blocks, "key", "left_anti")
-        rounds = [("hubs", nodes.join(blocks, "key", "left_semi")), *rounds, ("prefix", None)]
-    for what, named in rounds:
-        if what == "prefix":
-            pairs = _by_prefix(_prefixes(docs, large.select("rep").distinct(), words, percent, id_col, text_col), labels, reps, percent)
+    known = _Links(docs, reps, words, percent, id_col, text_col)
+    rows, small, blocks, alike = _roots(reps), [], [], []
+    for level in range(DEPTH + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = durable(rows.join(sizes, "key").select("key", "rep", "n"))
+        small.append(rows.where(F.col("n") <= SMALL).select("key", "rep"))
+        large = rows.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        if level == 0:
+            dealt = durable(_dealt(large))
+            hubs = durable(_propose(known.labelled(dealt.select("key", "rep")).join(reps.select("rep", "bins"), "rep"), "hubs", percent))
+            known.add(_with_hubs(dealt, hubs, reps, percent))
+            mean = dealt.select("node", "key").distinct().join(hubs, "key").groupBy(F.col("node").alias("key")).agg(F.avg("alike").alias("alike"))
+            large = durable(large.join(mean, "key").withColumn("stuck", F.col("alike") >= 1 / BRANCHES))
         else:
-            named = named.join(labels, named["rep"] == labels["id"], "left").select("key", "rep", "bins", F.coalesce("label", "rep").alias("label"))
-            pairs = _propose(named, what, percent)
-        if what == "hubs":
-            pairs = _with_hubs(large, pairs, reps, percent)
-        pairs = pairs.select("a", "b").where("a <> b").dropDuplicates(["a", "b"])
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = durable(found.union(confirm(pairs, docs, words, percent, id_col, text_col)))
-        tried = durable(tried.union(pairs))
-        labels = components(found)
-        release(labels)
-    return labels
+            large = large.withColumn("stuck", F.lit(level == DEPTH))
+        stuck = large.where("stuck").select("key", "rep", "n")
+        if level in (0, DEPTH):
+            settled, stuck = _settled(known.labelled(stuck))
+            blocks.append(settled)
+            alike.append(stuck.select("rep"))
+        rows = _branched(large.where(~F.col("stuck")), reps)
+    width = reps.rdd.getNumPartitions()
+    with_bins = lambda parts: durable(reduce(DataFrame.unionByName, parts).coalesce(width).join(reps.select("rep", "bins"), "rep").select("key", "rep", "bins"))
+    nodes = with_bins(small)
+    rest = with_bins(blocks) if blocks else None
+    propose = lambda df, what: _propose(known.labelled(df), what, percent).select("a", "b")
+    known.add(propose(nodes.where(_tree("key") == 0), "stars"))
+    known.add(propose(nodes if rest is None else nodes.unionByName(rest), "stars"))
+    known.add(propose(nodes, "all") if rest is None else propose(nodes, "all").union(propose(rest, "blocks")))
+    ids = durable(reduce(DataFrame.unionByName, alike).distinct()) if alike else None
+    if ids is not None and not ids.isEmpty():
+        known.add(_by_prefix(_prefixes(docs, ids, words, percent, id_col, text_col), known.labels, reps, percent))
+    return known.labels
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
