@@ -8,8 +8,9 @@ What survives at a boundary depends on the vocabulary. Unigram: the path with th
 ties to the longer last piece. BPE: the sum of scores is not what merging maximises, so an arc survives
 if merging its piece with the piece before leaves both as they are; exactly one does at each boundary, and the path is the one that merging gives.
 
-Two characters that stand side by side in no piece are a boundary on which all paths converge. Stretches between such
-places are remembered, as they repeat.
+Two characters that stand side by side in no piece are a boundary on which all paths converge, and so is the start of a
+word in vocabularies whose pieces hold no space but in front. Words that fit in the window whole are searched at once and remembered,
+as they repeat; of others, the stretches between such places.
 
 A character that no piece covers costs the lowest score less 10 and becomes byte pieces (the unknown id
 without those). A literal U+2581 is written as bytes, so that it doesn't come back as a space.
@@ -58,8 +59,17 @@ class Viterbi:
         self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
         self.beside = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
         self.word_breaks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        #: numbers of what may stand before a piece: ids, characters that no piece covers, and nothing
+        self.size, self.nothing = size, size + 0x110000
+        #: the pieces letter by letter; the key "" holds a piece's id
+        self.trie: dict = {}
+        for piece, i in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.memory: dict[str, list[int]] = {}
-        self.stays: dict[tuple[str, str], bool] = {}
+        self.stays: dict[int, bool] = {}
         self.keep = keep
 
     def merged(self, text: str) -> list[str]:
@@ -76,15 +86,44 @@ class Viterbi:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: str, piece: str) -> bool:
+    def fits(self, before: int, piece: int) -> bool:
         """Whether merging leaves ``piece`` after ``before`` as it is."""
-        known = self.stays.get((before, piece))
+        known = self.stays.get(before * self.size + piece)
         if known is None:
             if len(self.stays) > 2 * self.keep:
                 self.stays.clear()
-            known = self.stays[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            first = "" if before == self.nothing else self.texts[before] if before < self.size else chr(before - self.size)
+            known = self.merged(first + self.texts[piece]) == ([first] if first else []) + [self.texts[piece]]
+            self.stays[before * self.size + piece] = known
         return known
 
+    def window(self, text: str) -> list[int]:
+        """What ``stream`` gives for a BPE text that fits in the window whole: one surviving arc for each boundary."""
+        n, size, stays = len(text), self.size, self.stays
+        last: list[int | None] = [self.nothing, *[None] * n]
+        back = [0] * (n + 1)
+        for at, c in enumerate(text):
+            here = last[at] * size
+            node = self.trie
+            for end in range(at + 1, n + 1):
+                node = node.get(text[end - 1])
+                if node is None:
+                    break
+                if "" in node and last[end] is None:
+                    i = node[""]
+                    known = stays.get(here + i)
+                    if known or (known is None and self.fits(last[at], i)):
+                        last[end], back[end] = i, at
+            if last[at + 1] is None:  # no piece covers the character
+                last[at + 1], back[at + 1] = size + ord(c), at
+        out: list[int] = []
+        while n:
+            i = last[n]
+            out += [i] if i < size else self.spelled(text[n - 1])[::-1]
+            n = back[n]
+        out.reverse()
+        return out
+
     def spelled(self, char: str) -> list[int]:
         if len(self.bytes) == 256:
             return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -94,7 +133,7 @@ class Viterbi:
         """Yield ids for an iterable of characters, holding little more than a window of the longest piece."""
         width, bpe, pieces, scores = self.longest, self.kind == "bpe", self.pieces, self.scores
         text, base = "", 0  # the window, and the position of its first character
-        best, back = {0: "" if bpe else 0.0}, {}  # by boundary: last piece or score; (start, piece)
+        best, back = {0: self.nothing if bpe else 0.0}, {}  # by boundary: number of the last piece, or score; (start, piece)
         feed, done, at = iter(chars), False, 0
         while True:
             while not done and len(text) - (at - base) < width:
@@ -110,13 +149,13 @@ class Viterbi:
             for n in self.lengths.get(c, ()):
                 if n <= room and (piece := text[k : k + n]) in pieces:
                     if bpe:
-                        if at + n not in best and self.fits(here, piece):
-                            best[at + n], back[at + n] = piece, (at, piece)
+                        if at + n not in best and self.fits(here, pieces[piece]):
+                            best[at + n], back[at + n] = pieces[piece], (at, piece)
                     elif (s := here + scores[piece]) > best.get(at + n, float("-inf")):
                         best[at + n], back[at + n] = s, (at, piece)
             if bpe:
                 if at + 1 not in best:  # no piece covers the character
-                    best[at + 1], back[at + 1] = c, (at, c)
+                    best[at + 1], back[at + 1] = self.size + ord(c), (at, c)
             elif here + self.penalty > best.get(at + 1, float("-inf")):
                 best[at + 1], back[at + 1] = here + self.penalty, (at, c)
             at += 1
@@ -149,6 +188,9 @@ class Viterbi:
     def stretch(self, text: str) -> list[int]:
         """Ids of what lies between two certain boundaries; pairs found in no piece cut it further."""
         memory, beside = self.memory, self.beside
+        if self.kind == "bpe" and len(text) <= 2 * self.longest:
+            memory[text] = out = self.window(text)
+            return out
         cuts = [0, *(k for k in range(1, len(text)) if text[k - 1 : k + 1] not in beside), len(text)]
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
