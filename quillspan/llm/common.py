@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so lost executors cost nothing.
 
-    The folder is the one the session names in spark.checkpoint.dir; only a session without one
-    (a test) gets a folder of its own.
+    The folder is the one the session names in spark.checkpoint.dir; only a local session without one
+    (a test) gets a folder of its own. On a cluster, a folder of one machine would be lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -40,6 +42,13 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, prefix: str) -> str:
+    """``prefix``, made longer until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is; texts of ASCII alone take the quick built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -248,3 +248,52 @@ def test_url_model_held_out(spark):
     part = F.pmod(F.xxhash64(F.regexp_extract("url", r"([a-z-]+)\.example", 1)), F.lit(4))
     held = url_filter.UrlModel(seed.where(part != 0), rounds=15).score(seed.where(part == 0)).selectExpr("avg(cast((block_score > 0) = (block = 1) as double)) a").first().a
     assert held > 0.9
+
+
+def test_clashing_names_keep_their_values(spark):
+    secret = "token=abcdef12 and more"
+    rows = [(1, secret, "mine", "his"), (2, "A line that both of them share\nsecond", "a", "b"), (3, "A line that both of them share\nthird", "c", "d"), (4, "A line that both of them share\nfourth", None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _s_text string, _l_lost string")
+    got = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert got[1].text == "[secret] and more" and got[1]._s_text == "mine" and got[4]._s_text is None
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[k].text for k in (2, 3, 4)] == ["A line that both of them share\nsecond", "third", "fourth"] and [got[k]._l_lost for k in (1, 2, 3, 4)] == ["his", "b", "d", "f"]
+
+
+def test_long_passage_in_two_documents(spark):
+    passage, short = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55)), "only four short words"
+    rows = [(1, f"{passage}\n{short}\nfirst one"), (2, f"second one\n{passage}\n{short}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"second one\n{short}"}
+
+
+def test_redaction_against_brute_force(spark):
+    import re
+
+    rng = random.Random(4)
+    parts = ["token=", "token: abcdef12", "AKIA" + "Z" * 18, "0f" * 13, "é😀", " ", "password='xyz123'", "ghp_" + "a1" * 20, "https://u:p@", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(150)] + ["key " + "secret=abcdef1 " * 3000]
+    want = []
+    for t in texts:
+        spans = sorted((m.start(), m.end()) for r in secret_scan.BASE + secret_scan.MORE for m in re.finditer(r.regex, t) if len(m[r.group]) >= r.least)
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += t[at:a] + "[secret]"
+            at = max(at, b)
+        want.append(out + t[at:])
+    got = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    held = {(r.doc_id, r.trigram) for r in secret_scan.postings(frame(spark, list(enumerate(texts)))).collect()}
+    grams = secret_scan.TrigramIndex(secret_scan.BASE + secret_scan.MORE).grams
+    assert held == {(k, g) for k, t in enumerate(texts) for g in grams if g in t.lower()}
+
+
+def test_html_of_hostile_pages(spark):
+    deep = "<article>" + "<div>" * 100_000 + "<p>far down</p>" + "</div>" * 100_000 + "<p>and out</p></article>"
+    wide = "<article>" + "<p>one more paragraph</p>" * 50_000 + "</article>"
+    broken = "</div></p><<article><p>kept &amp; whole<ul><li>a<li>b</ul"
+    rows = [(1, "http://a.com/1", deep), (1, "http://a.com/1", deep), (2, "http://a.com/2", wide), (3, "http://a.com/3", broken), (None, "http://a.com/4", "<article>x</article>")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1][0] == "far down\n\nand out" and got[2][0].count("one more paragraph") == 50_000 and got[None] == ("x", 1)
+    assert got[3][0].startswith("kept & whole\n\na\n\nb")
