@@ -1,14 +1,13 @@
 """Secret scans over a trigram index: Boolean trigram queries are derived from each rule's expression, postings
 are intersected, and only candidates meet the expression itself.
 
-Built-in functions only, and nothing is shuffled: the index is partitioned by document, as search engines keep it. The postings
-of a row say which of the rules' trigrams its lower-cased text holds, one bit each, so an
-intersection is a bitwise test where the text already is, and verifying needs no join back to the texts.
-``postings`` gives the same index as (trigram, id) rows, to be stored and queried again. A rule without
-mandatory trigrams scans every text.
+Built-in functions only, and nothing is shuffled: the index is partitioned by document, as search engines keep it. One pass over
+the lower-cased text lists which of the rules' trigrams it holds; a rule's lists are intersected where the text already is, so
+that verifying needs no join back to the texts. ``postings`` gives the same lists as (trigram, id) rows, to be stored and
+queried again. A rule without mandatory trigrams scans every text.
 
 Defined results: a null text is empty and has no spans; ids may be null or repeat; an empty table gives an empty result;
-columns other than the id and the text are ignored, whatever their names. Offsets are code points, ends exclusive.
+columns other than the id and the text are ignored by ``scan`` and kept as they are by ``redact``, whatever their names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ from re import _constants as C, _parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspan.functions.text import let, offsets, running
+from quillspan.llm.common import unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,9 +49,6 @@ MORE = (
 )
 #: Most strings that a part of an expression may stand for and still be followed exactly.
 MOST = 40
-#: Bits in a bitmap word.
-WORD = 62
-
 #: A query: of every clause the text holds all trigrams of at least one alternative. An empty query is true of any text.
 Query = frozenset
 
@@ -137,66 +136,57 @@ class TrigramIndex:
     def __init__(self, rules: tuple[Rule, ...]):
         self.queries = {r.kind: trigram_query(r.regex) for r in rules}
         self.grams = sorted({g for q in self.queries.values() for clause in q for way in clause for g in way})
-        self.at = {g: divmod(k, WORD) for k, g in enumerate(self.grams)}
-
-    def bitmaps(self, text: Column) -> list[Column]:
-        """One bigint per WORD trigrams; ``text`` is lower-cased."""
-        bits: list[list[Column]] = [[] for _ in range(-(-len(self.grams) // WORD))]
-        for g, (w, k) in self.at.items():
-            bits[w].append(F.when(F.contains(text, F.lit(g)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-        for w in bits:  # in pairs, so that the expression stays shallow
-            while len(w) > 1:
-                w[:] = [a.bitwiseOR(b) for a, b in zip(w[::2], w[1::2], strict=False)] + w[len(w) - len(w) % 2 :]
-        return [w[0] for w in bits]
-
-    def candidate(self, kind: str, name: str) -> Column:
-        """Whether the postings in columns ``name``0, ``name``1, ... satisfy the rule's query."""
+
+    def pattern(self) -> str:
+        """An expression that matches nothing where one of the trigrams begins, and captures it."""
+        first = "".join(sorted({f"\\x{{{ord(g[0]):x}}}" for g in self.grams}))
+        return f"(?=[{first}])(?=({_tree(self.grams)}))"
+
+    def trigrams(self, text: Column) -> Column:
+        """Which of the trigrams the lower-cased ``text`` holds, each once."""
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern()), F.lit(1))) if self.grams else F.array().cast("array<string>")
+
+    def candidate(self, kind: str, held: Column) -> Column:
+        """Whether a text that holds the trigrams ``held`` satisfies the rule's query."""
         clauses = []
         for clause in sorted(self.queries[kind], key=lambda c: sorted(map(sorted, c))):
-            ways = []
-            for way in sorted(clause, key=sorted):
-                masks: dict[int, int] = {}
-                for w, k in map(self.at.__getitem__, way):
-                    masks[w] = masks.get(w, 0) | 1 << k
-                ways.append(reduce(and_, [F.col(f"{name}{w}").bitwiseAND(F.lit(m).cast("long")) == m for w, m in sorted(masks.items())]))
-            clauses.append(reduce(or_, ways))
+            clauses.append(reduce(or_, [F.size(F.array_except(F.array(*map(F.lit, sorted(way))), held)) == 0 for way in sorted(clause, key=sorted)]))
         return reduce(and_, clauses, F.lit(True))
 
 
+def _tree(words: list[str]) -> str:
+    """An expression for ``words``, those with the same beginning together."""
+    ends: dict[str, list[str]] = {}
+    for w in words:
+        ends.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"\\x{{{ord(c):x}}}" + (f"(?:{_tree(rest)})" if rest[0] else "") for c, rest in ends.items())
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index as rows (trigram, id), to be stored by trigram."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    grams = F.array(*(F.lit(g) for g in TrigramIndex(rules).grams))
-    return docs.select(F.col(id_col).alias(id_col), low.alias("low")).select(id_col, F.explode(F.filter(grams, lambda g: F.contains(F.col("low"), g))).alias("trigram"))
+    return docs.select(F.col(id_col), F.explode(TrigramIndex(rules).trigrams(low)).alias("trigram"))
 
 
 def _spans(text: Column, matches: Column, rule: Rule, rank: int) -> Column:
     """Spans of all matches: what lies between them comes from splitting by the same expression."""
-    gaps = F.split(text, rule.regex, -1)
-    long_enough = lambda m: F.length(F.regexp_extract(m, rule.regex, rule.group) if rule.group else m) >= rule.least
-    kind = "array<struct<start:int,rank:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    add = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-        F.when(
-            long_enough(x["m"]) if rule.least else F.lit(True),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end")))),
-        ).otherwise(acc["out"]).cast(kind).alias("out"),
-    )
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
-
-
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", prefix: str = "_s_") -> DataFrame:
-    """``docs`` with one array of (start, rank, end) per rule in ``{prefix}{kind}``, and the text in ``{prefix}text``."""
+    hits = offsets(F.split(text, rule.regex, -1), matches)
+    value = lambda h: F.regexp_extract(h["tok"], rule.regex, rule.group) if rule.group else h["tok"]
+    kept = F.filter(hits, lambda h: F.length(value(h)) >= rule.least) if rule.least else hits
+    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end")))
+
+
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one array of (start, rank, end) per rule in ``{prefix}{kind}``, and the text in ``{prefix}text``; and the prefix."""
+    prefix = unused(docs, "_s_")
     index, text = TrigramIndex(rules), F.col(f"{prefix}text")
     df = docs.withColumn(f"{prefix}text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    df = df.withColumns({f"{prefix}bits{k}": c for k, c in enumerate(index.bitmaps(F.lower(text)))})
+    df = df.withColumn(f"{prefix}held", index.trigrams(F.lower(text)))
     none = F.array().cast("array<string>")
-    df = df.withColumns({f"{prefix}m_{r.kind}": F.when(index.candidate(r.kind, f"{prefix}bits"), F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))).otherwise(none) for r in rules})
+    df = df.withColumns({f"{prefix}m_{r.kind}": F.when(index.candidate(r.kind, F.col(f"{prefix}held")), F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))).otherwise(none) for r in rules})
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     df = df.withColumns({f"{prefix}{r.kind}": F.when(F.size(f"{prefix}m_{r.kind}") > 0, _spans(text, F.col(f"{prefix}m_{r.kind}"), r, k)).otherwise(empty) for k, r in enumerate(rules)})
-    return df.drop(*(f"{prefix}m_{r.kind}" for r in rules), *(f"{prefix}bits{k}" for k in range(-(-len(index.grams) // WORD))))
+    return df.drop(*(f"{prefix}m_{r.kind}" for r in rules), f"{prefix}held"), prefix
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -207,11 +197,11 @@ def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans."""
     rules = BASE + tuple(more)
-    df = with_spans(docs.select(F.col(id_col), F.col(text_col).alias("text")), rules)
-    cols = lambda rs: F.concat(*(F.col(f"_s_{r.kind}") for r in rs))
+    df, prefix = with_spans(docs.select(F.col(id_col), F.col(text_col).alias("text")), rules)
+    cols = lambda rs: F.concat(*(F.col(f"{prefix}{r.kind}") for r in rs))
     return df.select(
         id_col,
-        *(F.size(f"_s_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in BASE),
+        *(F.size(f"{prefix}{r.kind}").cast("long").alias(f"n_{r.kind}") for r in BASE),
         F.sha2(_listed(cols(BASE), rules), 256).alias("base_sha256"),
         _listed(cols(rules), rules).alias("spans"),
     )
@@ -220,17 +210,17 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id",
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans by one. Other columns stay as they are."""
     rules = BASE + MORE
-    text = F.col("_s_text")
-    spans = F.array_sort(F.concat(*(F.col(f"_s_{r.kind}") for r in rules)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-    )
-    cut = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    found = F.size(F.concat(*(F.col(f"_s_{r.kind}") for r in rules))) > 0
-    df = with_spans(docs, rules, text_col)
-    return df.withColumn(text_col, F.when(found, cut).otherwise(F.col(text_col))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    df, prefix = with_spans(docs, rules, text_col)
+    text, spans = F.col(f"{prefix}text"), F.array_sort(F.concat(*(F.col(f"{prefix}{r.kind}") for r in rules)))
+
+    def cut(found: Column) -> Column:
+        # a span that begins where all before it have ended opens a gap before it, from the farthest of their ends
+        open_ = F.filter(F.zip_with(found, running(F.transform(found, lambda s: s["end"]), F.greatest), lambda s, r: F.struct(r.alias("from"), s["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+        gaps = F.transform(open_, lambda g: F.substring(text, g["from"] + 1, g["to"] - g["from"]))
+        return F.concat(F.array_join(gaps, mark), F.lit(mark), F.substring(text, F.array_max(F.transform(found, lambda s: s["end"])) + 1, F.length(text)))
+
+    new = F.when(F.size(spans) > 0, let(spans, cut)).otherwise(docs[text_col])
+    return df.withColumn(text_col, new).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _sql() -> str:
