@@ -11,7 +11,7 @@ texts under such elements; the second all slots, but for texts that are mostly l
 CONSTANT pages share. Both leave out what the tags or names mark as menus, headers, footers, sidebars, notices, adverts,
 forms or reader comments. Pages are read by the slots' paths.
 
-Defined results: null html gives an empty text; a page without host has the wrapper of all such pages; repeated rows are
+Defined results: null html gives an empty text; pages may nest as deeply as they like; a page without host has the wrapper of all such pages; repeated rows are
 read alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,8 @@ CONSTANT = 5
 NAMES = 32
 #: Share of a text that may be links outside an article.
 LINKED = 0.6
+#: Levels of a page that have paths of their own; what is nested deeper has the path of its ancestor there, and keeps its text.
+DEEP = 150
 #: Bytes of kept paths up to which they are broadcast; beyond it pages are joined with them by host.
 BROADCAST_BYTES = 8_000_000
 
@@ -69,6 +72,7 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
     tags: list[str] = []
     ids: list[int] = []
     text: list[str] = []
+    opened: Counter[str] = Counter()
     linked = count = in_link = 0
 
     def flush():
@@ -76,7 +80,11 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
         whole = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         got, linked = linked, 0
-        return [(tuple(path), whole, min(got, len(whole)), ids[-1] if ids else 0)] if whole else []
+        return [(tuple(path[:DEEP]), whole, min(got, len(whole)), ids[-1] if ids else 0)] if whole else []
+
+    def close(at: int) -> None:
+        opened.subtract(tags[at:])
+        del tags[at:], path[at:], ids[at:]
 
     for m in _TOKEN.finditer(page or ""):
         if m[5] is not None:
@@ -100,26 +108,27 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
         yield from flush()
         in_link = 0
         if closing:
-            if tag in tags:
-                at = len(tags) - 1 - tags[::-1].index(tag)
-                del tags[at:], path[at:], ids[at:]
+            if opened[tag] > 0:
+                close(next(at for at in range(len(tags) - 1, -1, -1) if tags[at] == tag))
             continue
         if "p" in tags[-1:]:
-            tags.pop(), path.pop(), ids.pop()
-        for at in range(len(tags) - 1, -1, -1):
-            if tags[at] in CLOSES.get(tag, ()):
-                del tags[at:], path[at:], ids[at:]
-                break
-            if tags[at] in SCOPE.get(tag, ()):
-                break
+            close(len(tags) - 1)
+        if any(opened[t] > 0 for t in CLOSES.get(tag, ())):
+            for at in range(len(tags) - 1, -1, -1):
+                if tags[at] in CLOSES[tag]:
+                    close(at)
+                    break
+                if tags[at] in SCOPE[tag]:
+                    break
         count += 1
+        if m[4].rstrip().endswith("/"):
+            continue
         tags.append(tag)
         path.append(signature(tag, m[4]))
         ids.append(count)
-        if not m[4].rstrip().endswith("/"):
+        opened[tag] += 1
+        if len(tags) <= DEEP:
             yield tuple(path), "", 0, count
-        else:
-            tags.pop(), path.pop(), ids.pop()
     yield from flush()
 
 
