@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for their first document."""
-    return _counted(line_dedup.dedup_lines(docs))
+    """Lines of recurring templates go, but for their first document, and documents that have no word left."""
+    return _counted(line_dedup.dedup_lines(docs, drop_emptied=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
