@@ -154,3 +154,20 @@ def sentences(text: Column) -> Column:
         return F.zip_with(parts, before, lambda p, at: F.struct(p.alias("tok"), at.alias("start"), (at + F.length(p)).alias("end")))
 
     return let(F.split(text, r"(?<=[.!?]) ", -1), of)
+
+
+def occurrences(text: Column, term: Column) -> Column:
+    """Starts of ``term`` in ``text`` without regard to case, overlapping ones included; no boundaries are asked for."""
+    low, needle = F.lower(text), F.lower(term)
+
+    def of(parts: Column) -> Column:
+        starts = F.zip_with(running(F.transform(parts, lambda p: F.length(p))), parts, lambda at, p: F.when(F.startswith(p, needle), at))
+        return F.array_compact(starts)
+
+    return let(F.split(low, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")), -1), of)
+
+
+def change_pattern(weak_text: Column, new_text: Column) -> Column:
+    """What a correction did to a span: an adjective of degree was there, words were lost, or something else."""
+    degree = F.contains(weak_text, F.lit("severe")) | F.contains(weak_text, F.lit("mild"))
+    return F.when(degree, "removed_adjective").when(F.size(words(new_text)) < F.size(words(weak_text)), "truncated_compound").otherwise("other")

@@ -77,6 +77,18 @@ def match_exact(docs: DataFrame, lexicon: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def scan_overlapping(docs: DataFrame, lexicon: DataFrame, label: str = "SYMPTOM") -> DataFrame:
+    """Every occurrence of a term, inside words and overlapping ones too: doc_id, span_text, start, end, label, canonical (the term), confidence.
+
+    A term may begin anywhere in a word, so there is no key to meet on: documents are tested against the terms.
+    """
+    terms = _sized(lexicon.where(F.length("term") > 0).select("term").distinct())
+    met = docs.select("doc_id", "text").join(terms, F.contains(F.lower("text"), F.lower("term")))
+    rows = met.select("*", F.explode(T.occurrences(F.col("text"), F.col("term"))).alias("start"))
+    end = F.col("start") + F.length("term")
+    return rows.select("doc_id", F.substring(F.col("text"), F.col("start") + 1, F.length("term")).alias("span_text"), "start", end.alias("end"), F.lit(label).alias("label"), F.col("term").alias("canonical"), F.lit(1.0).alias("confidence"))
+
+
 def _kept(s: Settings) -> list[Column]:
     """Symptoms keep the concept, products the stock number and category."""
     none = F.lit(None).cast("string")

@@ -69,7 +69,7 @@ def corrections(weak: DataFrame, llm: DataFrame, gold: DataFrame) -> DataFrame:
     m = llm.select("doc_id", "label", F.col("ord").alias("l_ord"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     value = iou(F.col("start"), F.col("end"), F.col("l_start"), F.col("l_end"))
     met = weak.select("doc_id", "ord", "label", "start", "end").join(m, ["doc_id", "label"]).where("l_start < end and l_end > start")
-    best = met.groupBy("doc_id", "ord", "label", "start", "end").agg(F.max_by(F.struct("l_start", "l_end"), F.struct(value, -F.col("l_ord"))).alias("b")).select("*", "b.l_start", "b.l_end").drop("b")
+    best = met.groupBy("doc_id", "ord", "label", "start", "end").agg(F.max_by(F.struct("l_start", "l_end", "l_ord"), F.struct(value, -F.col("l_ord"))).alias("b")).select("*", "b.l_start", "b.l_end", "b.l_ord").drop("b")
     before = best_iou(best, gold).withColumnRenamed("iou", "weak_iou")
     after = best_iou(best.select("doc_id", "ord", "label", F.col("l_start").alias("start"), F.col("l_end").alias("end")), gold).select("doc_id", "ord", F.col("iou").alias("llm_iou"))
     out = before.join(after, ["doc_id", "ord"])

@@ -95,3 +95,27 @@ def first_annotation(tasks: DataFrame, labels: tuple[str, ...] = ("SYMPTOM", "PR
     v = F.col("r.value")
     rows = rows.select("id", "nth", v["start"].alias("start"), v["end"].alias("end"), v["text"].alias("span_text"), F.get(v["labels"], 0).alias("label"))
     return rows.where("start is not null and end is not null and span_text is not null and start < end").where(F.col("label").isin(*labels))
+
+
+def gold_errors(records: DataFrame) -> DataFrame:
+    """line, entity, error of records (line, text, entities of start, end, text, label); entity is null where a record lacks a field.
+
+    An entity may have several errors. The text is compared with the slice that Python would take.
+    """
+    n = F.length("text")
+    place = lambda k: F.when(k < 0, F.greatest(n + k, F.lit(0))).otherwise(F.least(k, n))
+    rows = records.select("line", "text", F.col("entities").isNull().alias("bare"), F.posexplode_outer("entities").alias("entity", "e"))
+    missing = F.col("text").isNull() | F.col("bare")
+    start, end = place(F.col("e.start")), place(F.col("e.end"))
+    cut = F.when(end > start, F.substring("text", start + 1, end - start)).otherwise("")
+    errors = F.when(missing, F.array(F.lit("Missing required fields"))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when((F.col("e.start") < 0) | (F.col("e.end") > n), F.lit("Out of bounds")),
+                F.when(~F.col("e.text").eqNullSafe(cut), F.lit("Text mismatch")),
+                F.when(~F.coalesce(F.col("e.label").isin("SYMPTOM", "PRODUCT"), F.lit(False)), F.lit("Invalid label")),
+            )
+        )
+    )
+    rows = rows.where(missing | F.col("entity").isNotNull())
+    return rows.select("line", F.when(~missing, F.col("entity")).alias("entity"), F.explode(errors).alias("error")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quillspan.operators import annotation as A, sampling as P
+from quillspan.operators import annotation as A, sampling as P, spans as S
 from quillspan.plans.catalog import plan
 from quillspan.plans.corpus import corpus, with_
 
@@ -100,10 +100,26 @@ def gold_integrity(spark, sf_dir):
     return checks.crossJoin(distinct).select("*", (F.col("n") - F.col("d")).alias("n_repeats")).drop("d")
 
 
-@plan("gold_errors", with_("gold", sql="select doc_id, ord, case when start_ < 21 then 'bounds' when label = 'PRODUCT' and negated then 'label' end error from gold where start_ < 21 or (label = 'PRODUCT' and negated)"))
+_GOLD = """
+select doc_id as line, case when l_partkey % 13 = 0 then null else text end as text, cast(l_partkey % 30 - 2 as int) as start_, cast(l_partkey % 30 - 2 + l_suppkey % 9 as int) as end_,
+  case when l_partkey % 30 >= 2 and l_partkey % 5 <> 0 then substr(text, cast(l_partkey % 30 - 1 as int), cast(l_suppkey % 9 as int)) else 'x' end as span_text,
+  case when l_suppkey % 7 = 0 then 'OTHER' else 'SYMPTOM' end as label, cast(length(text) - 3 as int) as start2, cast(length(text) + l_partkey % 2 as int) as end2, substr(text, cast(length(text) - 2 as int), 3) as text2
+from complaints
+"""
+_PY = "substr(text, least(case when {s} < 0 then greatest(length(text) + {s}, 0) else {s} end, length(text)) + 1, greatest(least({e}, length(text)) - case when {s} < 0 then greatest(length(text) + {s}, 0) else {s} end, 0))"
+_GOLD_ERRORS = f"""e as (select line, text, 0 entity, start_ s, end_ e, span_text t, label from g union all select line, text, 1, start2, end2, text2, 'PRODUCT' from g)
+select distinct line, null::int entity, 'Missing required fields' error from g where text is null
+union all select line, entity, 'Out of bounds' from e where text is not null and (s < 0 or e > length(text))
+union all select line, entity, 'Text mismatch' from e where text is not null and t is distinct from case when e < 0 then '' else {_PY.format(s='s', e='e')} end
+union all select line, entity, 'Invalid label' from e where text is not null and label not in ('SYMPTOM', 'PRODUCT')"""
+
+
+@plan("gold_errors", with_("complaints", sql="select 1").removesuffix(" select 1") + f", g as ({_GOLD}), " + _GOLD_ERRORS)
 def gold_errors(spark, sf_dir):
-    error = F.when(F.col("start") < 21, "bounds").when((F.col("label") == "PRODUCT") & F.col("negated"), "label")
-    return corpus(spark, sf_dir, "gold").select("doc_id", "ord", error.alias("error")).where("error is not null")
+    g = spark.sql(_GOLD.replace("from complaints", "from {complaints}"), complaints=corpus(spark, sf_dir, "complaints"))
+    entity = lambda s, e, t, label: F.struct(F.col(s).alias("start"), F.col(e).alias("end"), F.col(t).alias("text"), label.alias("label"))
+    entities = F.array(entity("start_", "end_", "span_text", F.col("label")), entity("start2", "end2", "text2", F.lit("PRODUCT")))
+    return S.gold_errors(g.select("line", "text", entities.alias("entities")))
 
 
 _BATCH = "b as (select doc_id % 8 batch, count(*) / count(distinct doc_id) per_doc, avg((label = 'SYMPTOM')::int) share, avg(end_ - start_) len from weak group by 1)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
 from quillspan.operators import metrics as E
 from quillspan.plans.catalog import plan
 from quillspan.plans.corpus import corpus, with_
@@ -53,8 +54,8 @@ def iou_delta(spark, sf_dir):
 
 _PAIR = f"{_O}::double / ((p.end_ - p.start_) + (g.end_ - g.start_) - {_O})"
 _CORR = (
-    f"b as (select * from (select p.doc_id, p.ord, p.label, p.start_, p.end_, g.start_ ls, g.end_ le, row_number() over (partition by p.doc_id, p.ord order by {_PAIR} desc, g.ord) r from weak p join llm g on p.doc_id = g.doc_id and p.label = g.label and g.start_ < p.end_ and g.end_ > p.start_) where r = 1)",
-    f"c as (select p.doc_id, p.ord, p.ls, p.le, p.start_, p.end_, {_IOU} wi from b p left join gold g on p.doc_id = g.doc_id and p.label = g.label and g.start_ < p.end_ and g.end_ > p.start_ group by all)",
+    f"b as (select * from (select p.doc_id, p.ord, p.label, p.start_, p.end_, g.start_ ls, g.end_ le, g.ord l_ord, row_number() over (partition by p.doc_id, p.ord order by {_PAIR} desc, g.ord) r from weak p join llm g on p.doc_id = g.doc_id and p.label = g.label and g.start_ < p.end_ and g.end_ > p.start_) where r = 1)",
+    f"c as (select p.doc_id, p.ord, p.l_ord, p.ls, p.le, p.start_, p.end_, {_IOU} wi from b p left join gold g on p.doc_id = g.doc_id and p.label = g.label and g.start_ < p.end_ and g.end_ > p.start_ group by all)",
     f"d as (select p.doc_id, p.ord, {_IOU} li from (select doc_id, ord, label, ls start_, le end_ from b) p left join gold g on p.doc_id = g.doc_id and p.label = g.label and g.start_ < p.end_ and g.end_ > p.start_ group by all)",
     "st as (select c.*, d.li, start_ <> ls or end_ <> le modified, case when (start_ = ls and end_ = le) or li = wi then 'unchanged' when li > wi then 'improved' else 'worsened' end status from c join d using (doc_id, ord))",
 )
@@ -65,11 +66,18 @@ def correction_rate(spark, sf_dir):
     return E.correction_rate(*_three(spark, sf_dir))
 
 
-@plan("change_patterns", _sql("select case when (ord + doc_id) % 3 = 0 then 'removed_adjective' when le - ls < end_ - start_ then 'truncated_compound' else 'other' end pattern, count(*) n from st where status = 'worsened' group by 1", *_CORR))
+_PATTERNS = """select case when contains(w, 'severe') or contains(w, 'mild') then 'removed_adjective' when len(string_split(n, ' ')) < len(string_split(w, ' ')) then 'truncated_compound' else 'other' end pattern, count(*) n
+from (select coalesce(weak.span_text, 'burning sensation') w, coalesce(llm.span_text, 'burning') n from st
+join weak on st.doc_id = weak.doc_id and st.ord = weak.ord join llm on st.doc_id = llm.doc_id and st.l_ord = llm.ord where status = 'worsened') group by 1"""
+
+
+@plan("change_patterns", _sql(_PATTERNS, *_CORR))
 def change_patterns(spark, sf_dir):
-    bad = E.corrections(*_three(spark, sf_dir)).where("status = 'worsened'")
-    kind = F.when((F.col("ord") + F.col("doc_id")) % 3 == 0, "removed_adjective").when(F.col("l_end") - F.col("l_start") < F.col("end") - F.col("start"), "truncated_compound").otherwise("other")
-    return bad.groupBy(kind.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    weak, llm, gold = _three(spark, sf_dir)
+    old = weak.select("doc_id", "ord", F.coalesce("span_text", F.lit("burning sensation")).alias("weak_text"))
+    new = llm.select("doc_id", F.col("ord").alias("l_ord"), F.coalesce("span_text", F.lit("burning")).alias("llm_text"))
+    bad = E.corrections(weak, llm, gold).where("status = 'worsened'").join(old, ["doc_id", "ord"]).join(new, ["doc_id", "l_ord"])
+    return bad.groupBy(T.change_pattern(F.col("weak_text"), F.col("llm_text")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _BIN = "least(floor(coalesce(confidence, 0.0) / (1.0::double / 10)), 9)::int"

@@ -60,15 +60,14 @@ def _lines(spark, sf_dir):
     return _part(spark, sf_dir).select(k, F.when(k % 9 == 0, F.concat(good, F.lit("oops{"))).when(k % 11 == 0, F.lit("{not json")).otherwise(good).alias("value"))
 
 
-@plan("jsonl_corrupt_rows", "select count(*) filter (where p_partkey % 11 = 0 and p_partkey % 9 <> 0) n_bad, count(*) n from part where p_partkey % 9 <> 0")
+@plan("jsonl_corrupt_rows", "select count(*) filter (where p_partkey % 11 = 0 or p_partkey % 9 = 0) n_bad, count(*) n from part")
 def jsonl_corrupt_rows(spark, sf_dir):
-    lines = _lines(spark, sf_dir).where("p_partkey % 9 <> 0")
-    return X.parse_lines(lines, X.WEAK).agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"))
+    return X.parse_lines(_lines(spark, sf_dir), X.WEAK).agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"))
 
 
-@plan("validate_jsonl", "select case when p_partkey % 11 = 0 then 'bad json' when p_partkey % 4 = 0 then 'span without end' else 'ok' end status, count(*) n from part where p_partkey % 9 <> 0 group by 1")
+@plan("validate_jsonl", "select case when p_partkey % 11 = 0 or p_partkey % 9 = 0 then 'bad json' when p_partkey % 4 = 0 then 'span without end' else 'ok' end status, count(*) n from part group by 1")
 def validate_jsonl(spark, sf_dir):
-    rows = X.parse_lines(_lines(spark, sf_dir).where("p_partkey % 9 <> 0"), X.WEAK)
+    rows = X.parse_lines(_lines(spark, sf_dir), X.WEAK)
     status = F.when(F.col("bad"), "bad json").when(F.col("id").isNull() | F.col("text").isNull() | F.col("spans").isNull(), "missing field").when(F.exists("spans", lambda s: s["start"].isNull() | s["end"].isNull()), "span without end").otherwise("ok")
     return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import constants as K, fuzzy, negation, text as T
+from quillspan.operators.matching import scan_overlapping
 from quillspan.plans.catalog import plan
-from quillspan.plans.corpus import corpus, with_
+from quillspan.plans.corpus import SYMPTOM_TERMS, corpus, with_
 
 _WORD = r"\b\w[\w\-'']*\b"
 #: Tokens of a text with offsets, one row each, for DuckDB.
@@ -147,16 +148,31 @@ def is_negated_overlap(spark, sf_dir):
     return spans.select("doc_id", "ord", F.coalesce(negation.covered(F.col("start"), F.col("end"), F.col("regions")), F.lit(False)).alias("negated"))
 
 
-@plan("sentence_split", with_("complaints", sql="select doc_id, length(text)::int n_chars, (len(string_split(replace(replace(text, '! ', '. '), '? ', '. '), '. ')))::int n_sentences from complaints"))
+_SENTENCES = """select doc_id, i - 1 as pos, p[i] as sentence, (coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z))), 0) + i - 1)::int start_pos,
+(coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z))), 0) + i - 1 + length(p[i]))::int end_pos
+from (select doc_id, p, unnest(range(1, len(p) + 1)) i from (
+select doc_id, string_split(replace(replace(replace(text, '! ', '!' || chr(1)), '? ', '?' || chr(1)), '. ', '.' || chr(1)), chr(1)) p from complaints))"""
+
+
+@plan("sentence_split", with_("complaints", sql=_SENTENCES))
 def sentence_split(spark, sf_dir):
-    return corpus(spark, sf_dir, "complaints").select("doc_id", F.element_at(T.sentences(F.col("text")), -1)["end"].alias("n_chars"), F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+    found = corpus(spark, sf_dir, "complaints").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.tok").alias("sentence"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+
+
+_SCAN_TERMS = (*(t for t, _ in SYMPTOM_TERMS), "ss", "es", "aa")
 
 
-@plan("exact_scan_overlapping", with_("complaints", sql="select doc_id, i::int start_pos from (select doc_id, text, unnest(range(0, length(text) - 1)) i from complaints) where substr(lower(text), i + 1, 2) = 'es'"))
+_SCAN = f"""select doc_id, term canonical, substr(text, i + 1, length(term)) span_text, i::int start_pos, (i + length(term))::int end_pos
+from (select doc_id, text, term, unnest(range(0, length(text) - length(term) + 1)) i from complaints, (select unnest({list(_SCAN_TERMS)}) term) where contains(lower(text), term))
+where substr(lower(text), i + 1, length(term)) = term"""
+
+
+@plan("exact_scan_overlapping", with_("complaints", sql=_SCAN))
 def exact_scan_overlapping(spark, sf_dir):
-    docs = corpus(spark, sf_dir, "complaints")
-    at = F.filter(F.sequence(F.lit(0), F.length("text") - 2), lambda i: F.substring(F.lower("text"), i + 1, F.lit(2)) == "es")
-    return docs.select("doc_id", F.explode(at).alias("start_pos"))
+    terms = spark.createDataFrame([(t,) for t in _SCAN_TERMS], "term string")
+    found = scan_overlapping(corpus(spark, sf_dir, "complaints"), terms)
+    return found.select("doc_id", "canonical", "span_text", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 @plan("llm_prompt", with_("complaints", sql="select doc_id, 'Text: ' || text || chr(10) || p_name || ' [0,5] PRODUCT conf=' || printf('%.2f', 0.5 + (l_partkey % 40) / 100.0) || chr(10) || 'none' prompt from complaints"))

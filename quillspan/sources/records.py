@@ -71,9 +71,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = WEAK, strict:
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """``value`` parsed as JSON: the record's fields and ``bad``."""
+    """``value`` parsed as JSON: the record's fields and ``bad``. What follows a record makes a line bad: as the one member of an array, it must parse alone."""
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.where(F.trim("value") != "").select(parsed.alias("r"), "value").select("r.*").withColumn("bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{schema}>>")
+    bad = F.col("_corrupt_record").isNotNull() | ~F.coalesce(F.col("alone") == 1, F.lit(False))
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("r"), F.size(alone).alias("alone"))
+    return rows.select("r.*", "alone").withColumn("bad", bad).drop("_corrupt_record", "alone")
 
 
 def spans_of(df: DataFrame) -> DataFrame:
