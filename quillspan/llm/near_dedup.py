@@ -5,9 +5,9 @@ minwise tokens: the root of a tree takes BRANCHES coordinates of the signature,
 BRANCHES more, picked by its path, for as long as it holds more than SMALL documents, DEPTH levels at most. Documents
 of a small node are compared exhaustively by their sketches. Documents of a large root first meet the root's hub, the
 document that most others in its block of bounded size resemble, and what is confirmed joins most of thousands of near
-copies. A large root branches on if its documents are less than 1 / BRANCHES alike on average, so that the next level makes
-fewer rows. Branching can't part documents that are more alike, such as near copies, or pages of one template that are not quite
-similar enough. Where such a node, or one that is still large at the last level, is of one component already, no pair in it can
+copies. A large node branches on if a branch leaves less than 1 / (2 * BRANCHES) of its pairs together, so that each level makes
+fewer rows than the one before. Branching can't part documents that are more alike, such as near copies, or pages of one template that are
+not quite similar enough. Where such a node, or one that is still large at the last level, is of one component already, no pair in it can
 change the result. Where all but SMALL of its documents are, it is compared exhaustively: it is dealt into blocks, and the
 few others meet every block. Of the rest, all documents are joined by the prefix filter on their full shingle sets, rare
 shingles first, so that any two that are similar enough share a shingle of their prefixes and are compared there.
@@ -173,6 +173,15 @@ def _branched(large: DataFrame, reps: DataFrame) -> DataFrame:
     return large.select("key", "rep").join(reps.select("rep", "sig"), "rep").select("rep", F.explode(F.transform(steps, lambda x: _node(_tree("key"), F.col("key"), x["j"], x["c"], F.get("sig", x["c"])))).alias("key"))
 
 
+def _spread(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Large nodes (key, rep, n) with ``alike``: the share of their pairs that their first branch would leave together."""
+    first = TREES * BRANCHES
+    step = F.get("sig", (F.pmod(F.xxhash64("key", F.lit(0)), F.lit(COORDS - first)) + first).cast("int"))
+    groups = large.join(reps.select("rep", "sig"), "rep").groupBy("key", step.alias("step")).agg(F.count(F.lit(1)).alias("m"))
+    alike = groups.groupBy("key").agg(((F.sum(F.col("m") * F.col("m")) - F.sum("m")) / (F.sum("m") * (F.sum("m") - 1))).alias("alike"))
+    return large.join(alike, "key")
+
+
 def _dealt(large: DataFrame) -> DataFrame:
     """node, key, rep: the documents of large nodes (key, rep, n), each in a block of about BLOCK."""
     block = _node(_tree("key"), F.col("key"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK)))
@@ -193,7 +202,7 @@ def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
-    """What nodes propose. ``hubs``: each node's hub a, in b the sixths of the node that resemble it, and how alike its documents are on average; ``stars``: pairs (a, b)
+    """What nodes propose. ``hubs``: each node's hub a, and in b the sixths of the node that resemble it; ``stars``: pairs (a, b)
     of a hub b and a document of its neighbourhood, one of each label; ``all``: all pairs, but for those that meet in an
     earlier node as well. Pairs are of different labels."""
 
@@ -207,8 +216,7 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
         degree = near.sum(axis=1) * 6 // len(rep)
         if what == "hubs":
             top = int(np.lexsort((rep, -degree))[0])
-            alike = (equal - neither) / (BINS - neither)
-            out.append((key, rep[top], int(degree[top]), (alike.sum() - len(rep)) / (len(rep) * (len(rep) - 1))))
+            out.append((key, rep[top], int(degree[top])))
             return
         apart = near & (label[:, None] != label[None, :])
         if not apart.any():
@@ -217,7 +225,7 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
             before = [set(e) for e in earlier]
             for x, y in zip(*np.nonzero(np.triu(apart, 1)), strict=True):
                 if before[x].isdisjoint(before[y]):
-                    out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y]), 0.0))
+                    out.append((key, max(rep[x], rep[y]), min(rep[x], rep[y])))
             return
         # documents of the hub's own component are covered too, so that a component doesn't send each of its documents
         todo = apart.any(axis=1)
@@ -227,7 +235,7 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
                 alike = (equal[x, met] - neither[x, met]) / (BINS - neither[x, met])
                 met = met[np.lexsort((rep[met], -alike))]
                 for y in met[np.unique(label[met], return_index=True)[1]]:
-                    out.append((key, rep[y], rep[x], 0.0))
+                    out.append((key, rep[y], rep[x]))
                 todo[x] = False
                 todo &= ~near[x]
 
@@ -253,9 +261,8 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
                 judge(keys[a], rep[a:b], label[a:b], sets[a:b], earlier[a:b], out)
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names=["key", "a", "b", "alike"])
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["key", "a", "b"])
 
     if what == "all":  # a document is in TREES * BRANCHES ** (DEPTH + 1) nodes at most
         mine = F.collect_list("key").over(Window.partitionBy("rep"))
@@ -263,7 +270,7 @@ def _propose(nodes: DataFrame, what: str, percent: int) -> DataFrame:
     else:
         nodes = nodes.withColumn("earlier", F.array().cast("array<long>"))
     parted = nodes.select("key", "rep", "label", "bins", "earlier").repartition("key").sortWithinPartitions("key", "rep")
-    return parted.mapInArrow(run, "key long, a long, b long, alike double")
+    return parted.mapInArrow(run, "key long, a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -495,7 +502,7 @@ class _Links:
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, label of the representatives that are linked with another."""
     known = _Links(docs, reps, words, percent, id_col, text_col)
-    rows, small, blocks, alike = _roots(reps), [], [], []
+    rows, small, stuck = _roots(reps), [], []
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = durable(rows.join(sizes, "key").select("key", "rep", "n"))
@@ -505,27 +512,25 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: st
             break
         if level == 0:
             dealt = durable(_dealt(large))
-            hubs = durable(_propose(known.labelled(dealt.select("key", "rep")).join(reps.select("rep", "bins"), "rep"), "hubs", percent))
+            hubs = _propose(known.labelled(dealt.select("key", "rep")).join(reps.select("rep", "bins"), "rep"), "hubs", percent)
             known.add(_with_hubs(dealt, hubs, reps, percent))
-            mean = dealt.select("node", "key").distinct().join(hubs, "key").groupBy(F.col("node").alias("key")).agg(F.avg("alike").alias("alike"))
-            large = durable(large.join(mean, "key").withColumn("stuck", F.col("alike") >= 1 / BRANCHES))
-        else:
-            large = large.withColumn("stuck", F.lit(level == DEPTH))
-        stuck = large.where("stuck").select("key", "rep", "n")
-        if level in (0, DEPTH):
-            settled, stuck = _settled(known.labelled(stuck))
-            blocks.append(settled)
-            alike.append(stuck.select("rep"))
-        rows = _branched(large.where(~F.col("stuck")), reps)
+        if level == DEPTH:
+            stuck.append(large)
+            break
+        large = durable(_spread(large, reps))
+        parts = F.col("alike") < 1 / (2 * BRANCHES)
+        stuck.append(large.where(~parts).select("key", "rep", "n"))
+        rows = _branched(large.where(parts), reps)
+    blocks, alike = _settled(known.labelled(reduce(DataFrame.unionByName, stuck))) if stuck else (None, None)
     width = reps.rdd.getNumPartitions()
     with_bins = lambda parts: durable(reduce(DataFrame.unionByName, parts).coalesce(width).join(reps.select("rep", "bins"), "rep").select("key", "rep", "bins"))
     nodes = with_bins(small)
-    rest = with_bins(blocks) if blocks else None
+    rest = None if blocks is None else with_bins([blocks])
     propose = lambda df, what: _propose(known.labelled(df), what, percent).select("a", "b")
     known.add(propose(nodes.where(_tree("key") == 0), "stars"))
     known.add(propose(nodes if rest is None else nodes.unionByName(rest), "stars"))
     known.add(propose(nodes, "all") if rest is None else propose(nodes, "all").union(propose(rest, "blocks")))
-    ids = durable(reduce(DataFrame.unionByName, alike).distinct()) if alike else None
+    ids = None if alike is None else durable(alike.select("rep").distinct())
     if ids is not None and not ids.isEmpty():
         known.add(_by_prefix(_prefixes(docs, ids, words, percent, id_col, text_col), known.labels, reps, percent))
     return known.labels
