@@ -1,15 +1,17 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
 A page is a stream of tags and texts. Streams of one host are aligned one after the other into a
-wrapper: a tag that some pages lack becomes optional, a tag that follows itself becomes a repeated group, tags that
-come back after others make their parent's content one repeated group of optional members, and texts that differ
+wrapper: a tag that some pages lack becomes optional; siblings of the same name keep their positions while all pages that have them
+have equally many, and become one repeated group as soon as two pages differ in their number; texts that differ
 become slots. Alignment is associative, so partitions align their own pages first and hand on one wrapper per
-host; a host with a third of all pages costs as many merges as there are partitions, no more.
+host, and these are merged in two levels, the first salted, as a host may hold a third of all pages.
 
 A host has two wrappers: one of the pages with text under an article or main element, one of the others. The first keeps all
 texts under such elements; the second all slots, but for texts that are mostly links and those that all of at least
-CONSTANT pages share. Both leave out what the tags or names mark as menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments. Pages are read by the slots' paths.
+CONSTANT pages share at the same position. Both leave out what the tags or names mark as menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments. A name that holds such a word beside others that say nothing of layout (social-history) is judged by the wrapper:
+it goes only where its texts are mostly links or the same on all pages. A page is read by matching it against its host's wrapper:
+exact position, else the repeated group of that name, else the tag whose names are open.
 
 Defined results: null html gives an empty text; pages may nest as deeply as they like; a page without host has the wrapper of all such pages; repeated rows are
 read alike; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,10 @@ from quillspan.llm.url_filter import host_and_path
 CONSTANT = 5
 #: Differently named siblings of one tag before their names count as a slot too.
 NAMES = 32
+#: Siblings of one name on a page that keep their positions; more are a repeated group at once.
+POSITIONS = 32
+#: Parts into which the partial wrappers of a host are dealt before the last merge.
+SALTS = 64
 #: Share of a text that may be links outside an article.
 LINKED = 0.6
 #: Levels of a page that have paths of their own; what is nested deeper has the path of its ancestor there, and keeps its text.
@@ -47,6 +53,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "o
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 OUT_TAGS = set("head title nav footer aside form header button select textarea dialog menu".split())
 OUT_NAMES = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header login masthead menu meta nav navbar navigation newsletter notice notices pagination popup promo promos related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words of layout: a name of these and a word of OUT_NAMES says what the word says.
+PLAIN = set("area article articles bar block body bottom box button buttons col column container content entry global group inner item items left link links list main page panel post posts right section site text thread title top unit wrap wrapper".split())
 MAIN = {"article", "main"}
 MAIN_NAMES = {"articlebody"}
 
@@ -63,28 +71,28 @@ def signature(tag: str, attributes: str) -> str:
     return f"{tag}.{re.sub(r'[0-9]+', '#', ' '.join(names.split()))}" if names else tag
 
 
-def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
-    """(path, text, characters inside links, order of the element) for each text between block tags, in page order.
+def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
+    """(path, text, characters inside links) for each text between block tags, in page order.
 
-    An empty text marks an element as it opens.
+    A path holds names with their positions among siblings of the same name. An empty text marks an element as it opens.
     """
     path: list[str] = []
     tags: list[str] = []
-    ids: list[int] = []
+    seen: list[dict[str, int]] = [{}]  # by level: how often each name came
     text: list[str] = []
     opened: Counter[str] = Counter()
-    linked = count = in_link = 0
+    linked = in_link = 0
 
     def flush():
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         got, linked = linked, 0
-        return [(tuple(path[:DEEP]), whole, min(got, len(whole)), ids[-1] if ids else 0)] if whole else []
+        return [(tuple(path[:DEEP]), whole, min(got, len(whole)))] if whole else []
 
     def close(at: int) -> None:
         opened.subtract(tags[at:])
-        del tags[at:], path[at:], ids[at:]
+        del tags[at:], path[at:], seen[at + 1 :]
 
     for m in _TOKEN.finditer(page or ""):
         if m[5] is not None:
@@ -120,90 +128,124 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
                     break
                 if tags[at] in SCOPE[tag]:
                     break
-        count += 1
         if m[4].rstrip().endswith("/"):
             continue
         tags.append(tag)
-        path.append(signature(tag, m[4]))
-        ids.append(count)
+        name = signature(tag, m[4])
+        at = seen[-1][name] = min(seen[-1].get(name, 0), POSITIONS) + 1
+        path.append(name if at == 1 else f"{name}\t{at}")
+        seen.append({})
         opened[tag] += 1
         if len(tags) <= DEEP:
-            yield tuple(path), "", 0, count
+            yield tuple(path), "", 0
     yield from flush()
 
 
 # A wrapper element is a dict: "o" some pages lack it, "r" it repeats, "g" its content is one repeated group,
 # "t" its text (a constant, or True for a slot), "n" pages, "c" and "l" characters and linked characters, "k" members in order.
+# Members are keyed "name" and "name\\t2", "name\\t3", ... by position, "name\\t*" as a repeated group, "tag.*" with open names.
 
 
 def _element() -> dict:
     return {"o": False, "r": False, "g": False, "t": None, "n": 1, "c": 0, "l": 0, "k": {}}
 
 
+def _base(key: str) -> str:
+    return key.partition("\t")[0]
+
+
 def wrapper_of(page: str | None) -> dict:
     """The wrapper of one page."""
     root = _element()
-    opened: dict[int, dict] = {}
-    last: dict[int, str] = {}  # by element: the member seen last
-    trail: list[tuple[str, int]] = []
-    for path, text, linked, order in blocks(page):
+    for path, text, linked in blocks(page):
         here = root
-        if not text:
-            parents = trail[: len(path) - 1]
-            trail = [*parents, (path[-1], order)]
-            for name, _ in parents:
-                here = here["k"][name]
-            name = path[-1]
-            key = id(here)
-            member = here["k"].get(name)
+        for key in path:
+            member = here["k"].get(key)
             if member is None:
-                member = here["k"][name] = _element()
-            elif last.get(key) == name:
-                member["r"] = True
-            else:
-                here["g"] = member["r"] = True
-            last[key] = name
-            opened[order] = member
-            continue
-        for name in path:
-            here = here["k"][name]
-        here["t"] = text if here["t"] is None or here["t"] == text else True
-        here["c"] += len(text)
-        here["l"] += linked
-    return root
-
-
-def align(a: dict, b: dict) -> dict:
-    """The wrapper of both; ``a`` is changed and returned."""
+                member = here["k"][key] = _element()
+            here = member
+        if text:
+            here["t"] = text if here["t"] is None or here["t"] == text else True
+            here["c"] += len(text)
+            here["l"] += linked
+    return _settle(root)
+
+
+def _settle(e: dict) -> dict:
+    """Members beyond the bounds on positions and names become groups, at every level."""
+    for member in e["k"].values():
+        _settle(member)
+    for key in [k for k in e["k"] if k.endswith(f"\t{POSITIONS + 1}")]:
+        _repeat(e, _base(key))
+    return _open_names(e)
+
+
+def _fold(e: dict, keys: list[str], into: str) -> None:
+    """The members ``keys`` of an element become one repeated member, at the place of the first."""
+    at = {k: place for place, k in enumerate(e["k"])}
+    if at[keys[-1]] - at[keys[0]] >= len(keys):
+        e["g"] = True  # others stand between them
+    one, optional = e["k"][keys[0]], all(e["k"][k]["o"] for k in keys)
+    for key in keys[1:]:
+        align(one, e["k"][key], same_pages=True)
+    one["r"], one["o"] = True, optional
+    gone = set(keys[1:])
+    e["k"] = {into if k == keys[0] else k: one if k == keys[0] else m for k, m in e["k"].items() if k not in gone}
+
+
+def _repeat(e: dict, name: str) -> None:
+    keys = [k for k in e["k"] if _base(k) == name]
+    if keys and keys != [f"{name}\t*"]:
+        _fold(e, keys, f"{name}\t*")
+
+
+def _counts(e: dict) -> dict[str, int]:
+    """Positions by name; -1 for a repeated group."""
+    out: dict[str, int] = {}
+    for key in e["k"]:
+        name, _, at = key.partition("\t")
+        out[name] = -1 if at == "*" else out.get(name, 0) + 1
+    return out
+
+
+def align(a: dict, b: dict, same_pages: bool = False) -> dict:
+    """The wrapper of both; ``a`` is changed and returned, ``b`` is used up. ``same_pages``: both are of the same pages."""
     if b["t"] != a["t"]:
         a["t"] = True
     a["r"] |= b["r"]
     a["g"] |= b["g"]
     a["o"] |= b["o"]
-    seen, added = a["n"], b["n"]
-    a["n"] += added
+    a["n"] = max(a["n"], b["n"]) if same_pages else a["n"] + b["n"]
     a["c"] += b["c"]
     a["l"] += b["l"]
+    for tag in {k[:-2] for e in (a, b) for k in e["k"] if k.endswith(".*")}:
+        _open_tag(a, tag)
+        _open_tag(b, tag)
+    left, right = _counts(a), _counts(b)
+    for name, n in left.items():
+        if right.get(name, n) != n:
+            _repeat(a, name)
+            _repeat(b, name)
     mine, theirs = a["k"], b["k"]
     shared = [n for n in mine if n in theirs]
     if shared != [n for n in theirs if n in mine]:
         a["g"] = True  # the same members in another order
     for name, member in mine.items():
         if name in theirs:
-            align(member, theirs[name])
+            align(member, theirs[name], same_pages)
         else:
             member["o"] = True
     fresh = [n for n in theirs if n not in mine]
     if fresh:
         merged: dict[str, dict] = {}
-        queue = list(theirs)
+        queue = deque(theirs)
         for name in mine:  # keep both orders: what stands before a shared member goes before it
             while queue and name in theirs and queue[0] != name:
-                other = queue.pop(0)
+                other = queue.popleft()
                 if other not in mine:
                     merged[other] = theirs[other] | {"o": True}
             if queue and queue[0] == name:
-                queue.pop(0)
+                queue.popleft()
             merged[name] = mine[name]
         for other in queue:
             if other not in mine:
@@ -212,20 +254,19 @@ def align(a: dict, b: dict) -> dict:
     return _open_names(a)
 
 
+def _open_tag(e: dict, tag: str) -> None:
+    keys = [k for k in e["k"] if _base(k).split(".")[0] == tag]
+    if keys and keys != [f"{tag}.*"]:
+        _fold(e, keys, f"{tag}.*")
+
+
 def _open_names(a: dict) -> dict:
     """Many differently named members of one tag become one, whose name is a slot."""
     if len(a["k"]) > NAMES:
-        by_tag: dict[str, list[str]] = {}
-        for name in a["k"]:
-            by_tag.setdefault(name.split(".")[0], []).append(name)
-        for tag, names in by_tag.items():
-            if len(names) > NAMES:
-                one = None
-                for name in names:
-                    member = a["k"].pop(name)
-                    one = member if one is None else align(one, member)
-                one["r"] = one["o"] = True
-                a["k"][f"{tag}.*"] = one
+        by_tag = Counter(name.split(".")[0] for name in {_base(k) for k in a["k"]})
+        for tag, n in by_tag.items():
+            if n > NAMES:
+                _open_tag(a, tag)
                 a["g"] = True
     return a
 
@@ -234,33 +275,56 @@ def expression(w: dict) -> str:
     """The wrapper as a regular expression over tags; # is a text slot."""
     text = "" if w["t"] is None else "#" if w["t"] is True else repr(w["t"])
     parts = [text] if text else []
-    for name, m in w["k"].items():
+    for key, m in w["k"].items():
+        name = _base(key)
         mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[m["o"], m["r"]]
         parts.append(f"(<{name}>{expression(m)}</{name}>){mark}" if mark else f"<{name}>{expression(m)}</{name}>")
     return f"({' '.join(parts)})+" if w["g"] else " ".join(parts)
 
 
-def _is_out(name: str, in_main: bool) -> bool:
-    tag, _, names = name.partition(".")
-    if tag in OUT_TAGS and not (tag == "header" and in_main):
-        return True
-    return bool(names) and bool(OUT_NAMES.intersection(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())))
+@lru_cache(100_000)
+def _named_out(names: str) -> bool | None:
+    """Whether one of the names marks a thing outside the article; None if a name holds such a word beside others."""
+    doubt = False
+    for name in names.split():
+        words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if words & OUT_NAMES:
+            if words <= OUT_NAMES | PLAIN:
+                return True
+            doubt = True
+    return None if doubt else False
+
+
+def _is_out(key: str, in_main: bool) -> bool:
+    tag, _, names = _base(key).partition(".")
+    return tag in OUT_TAGS and not (tag == "header" and in_main) or bool(_named_out(names))
 
 
-def _is_main(name: str) -> bool:
-    tag, _, names = name.partition(".")
+def _is_main(key: str) -> bool:
+    tag, _, names = _base(key).partition(".")
     return tag in MAIN or any(n in MAIN_NAMES or n == "main" and tag != "body" for n in names.lower().split())
 
 
-def _texts(w: dict) -> Iterator[tuple[tuple[str, ...], dict, bool]]:
-    """(path, element, whether it is in an article) of the elements with text that nothing marks as not of the article."""
+def _same_or_linked(e: dict) -> bool:
+    """Whether all texts of an element are the same on all of at least CONSTANT pages, or most of them are links."""
+    found = list(_texts(e))
+    chars, linked = (sum(m[c] for _, m, _ in found) for c in "cl")
+    return linked > LINKED * chars or e["n"] >= CONSTANT and not any(m["t"] is True for _, m, _ in found)
+
+
+def _texts(w: dict, judge: bool = False) -> Iterator[tuple[tuple[str, ...], dict, bool]]:
+    """(path, element, whether it is in an article) of the elements with text that no name marks as not of the article.
+
+    ``judge``: names in doubt are decided by the wrapper.
+    """
 
     def walk(e: dict, path: tuple[str, ...], in_main: bool) -> Iterator[tuple[tuple[str, ...], dict, bool]]:
         if e["t"] is not None:
             yield path, e, in_main
-        for name, m in e["k"].items():
-            if not _is_out(name, in_main):
-                yield from walk(m, (*path, name), in_main or _is_main(name))
+        for key, m in e["k"].items():
+            if _is_out(key, in_main) or judge and _named_out(_base(key).partition(".")[2]) is None and _same_or_linked(m):
+                continue
+            yield from walk(m, (*path, key), in_main or _is_main(key))
 
     return walk(w, (), False)
 
@@ -271,16 +335,40 @@ def has_article(w: dict) -> bool:
 
 def kept_paths(w: dict) -> list[str]:
     """Paths, joined by newlines, of the elements whose texts are the article's; the pages of ``w`` all have an article, or none has."""
-    found = list(_texts(w))
-    if any(inside for _, _, inside in found):
+    found = list(_texts(w, judge=True))
+    if has_article(w):
         return ["\n".join(p) for p, _, inside in found if inside]
     return ["\n".join(p) for p, m, _ in found if m["l"] <= LINKED * m["c"] and (m["t"] is True or m["n"] < CONSTANT)]
 
 
-def main_text(found: list[tuple], paths: set[str]) -> str:
-    """The texts at ``paths`` of a page's blocks, in page order."""
-    open_ended = {p for p in paths if ".*" in p}
-    return "\n\n".join(text for path, text, _, _ in found if text and ("\n".join(path) in paths or (open_ended and _matches(path, open_ended))))
+def matcher(paths: list[str]) -> dict:
+    """The paths as a tree of keys; the member "" marks an end."""
+    root: dict = {}
+    for path in paths:
+        here = root
+        for key in path.split("\n") if path else ():
+            here = here.setdefault(key, {})
+        here[""] = {}
+    return root
+
+
+def _fits(path: tuple[str, ...], tree: dict) -> bool:
+    for key in path:
+        found = tree.get(key)
+        if found is None:
+            name = _base(key)
+            found = tree.get(f"{name}\t*")
+            if found is None:
+                found = tree.get(f"{name.partition('.')[0]}.*")
+                if found is None:
+                    return False
+        tree = found
+    return "" in tree
+
+
+def main_text(found: list[tuple], tree: dict) -> str:
+    """The texts of a page's blocks that fit the tree, in page order."""
+    return "\n\n".join(text for path, text, _ in found if text and _fits(path, tree))
 
 
 @lru_cache(100_000)
@@ -294,10 +382,6 @@ def _in_article(path: tuple[str, ...]) -> bool:
     return inside
 
 
-def _matches(path: tuple[str, ...], patterns: set[str]) -> bool:
-    return any(len(q) == len(path) and all(a == b or b.endswith(".*") and a.split(".")[0] == b[:-2] for a, b in zip(path, q, strict=True)) for q in (p.split("\n") for p in patterns))
-
-
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, article, wrapper (JSON), from all pages of each host with or without an article."""
     rows = pages.select(host_and_path(F.col(url))[0].alias("host"), F.col(html).cast("string").alias("html"))
@@ -335,11 +419,12 @@ def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
             yield rows_of({at: now})
 
     kind = "host string, article boolean, wrapper string"
-    partial = rows.mapInArrow(local, kind)
-    return partial.repartition("host", "article").sortWithinPartitions("host", "article", "wrapper").mapInArrow(merge, kind)
+    at = ["host", "article"]
+    salted = rows.mapInArrow(local, kind).repartition(*at, F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions(*at, "wrapper").mapInArrow(merge, kind)
+    return salted.repartition(*at).sortWithinPartitions(*at, "wrapper").mapInArrow(merge, kind)
 
 
-_PATHS: dict[str, set[str]] = {}
+_PATHS: dict[str, dict] = {}
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -355,12 +440,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         texts = []
         for page, *both in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             found = list(blocks(page))
-            paths = both[0 if any(text and _in_article(path) for path, text, _, _ in found) else 1] or "[]"
+            paths = both[0 if any(text and _in_article(path) for path, text, _ in found) else 1] or "[]"
             if len(_PATHS) > 5000:
                 _PATHS.clear()
             known = _PATHS.get(paths)
             if known is None:
-                known = _PATHS[paths] = set(json.loads(paths))
+                known = _PATHS[paths] = matcher(json.loads(paths))
             texts.append(main_text(found, known))
         return {id_col: batch.column(0), "url": batch.column(1), "text": texts, "n_chars": list(map(len, texts))}
 

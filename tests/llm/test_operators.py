@@ -297,3 +297,49 @@ def test_html_of_hostile_pages(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1][0] == "far down\n\nand out" and got[2][0].count("one more paragraph") == 50_000 and got[None] == ("x", 1)
     assert got[3][0].startswith("kept & whole\n\na\n\nb")
+
+
+def test_html_without_telling_names(spark):
+    """Unnamed blocks: positions, constants and links of the wrapper decide; the texts are known as the pages are built."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        title, paragraphs, links = say(4), [say(12) for _ in range(rng.randrange(1, 60))], [say(2) for _ in range(rng.randrange(1, 6))]
+        source = f"source {say(2)}"
+        menu = "".join(f"<div><a href=1>{x}</a></div>" for x in links)
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        history = f"<p class='social-history'>{title} told</p>"
+        page = f"<body><div><p>We use no trackers</p></div><div><p>{title}</p></div><section>{menu}</section><div>{body}{history}<p>{source}</p></div><div><p>All rights kept</p></div></body>"
+        rows.append((k, f"http://plain.org/{k}", page))
+        want[k] = "\n\n".join([title, *paragraphs, f"{title} told", source])
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_html_names_inside_an_article(spark):
+    page = "<article><p class='social-history'>history {0}</p><div class='share-buttons'>tell them</div><div class='post-meta'>by {0}</div><div class='related-work'><a href=1>other {0}</a></div><ul class=sources><li><a href=1>paper {0}</a></ul></article>"
+    rows = [(k, f"http://a.com/{k}", page.format(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"history {k}\n\npaper {k}" for k in range(8)}
+
+
+def test_wrappers_in_any_order():
+    rng = random.Random(5)
+    tags = ["div", "p", "div class=a", "section", "h2"]
+
+    def page(depth=0):
+        return "".join(f"<{t}>{rng.choice(['same', str(rng.random())])}{page(depth + 1) if depth < 2 else ''}</{t.split()[0]}>" for t in rng.choices(tags, k=rng.randrange(4)))
+
+    pages = [page() for _ in range(40)]
+
+    def wrapper(order):
+        parts = [html_wrapper.wrapper_of(pages[k]) for k in order]
+        while len(parts) > 1:  # a random tree of merges
+            at = rng.randrange(len(parts) - 1)
+            parts[at : at + 2] = [html_wrapper.align(parts[at], parts[at + 1])]
+        return sorted((path, e["t"], e["r"]) for path, e, _ in html_wrapper._texts(parts[0]))
+
+    first = wrapper(range(40))
+    for _ in range(5):
+        assert wrapper(rng.sample(range(40), 40)) == first
