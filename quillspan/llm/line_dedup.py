@@ -9,7 +9,8 @@ passage is no chance. It stays in the first of them (the smallest id) and is dro
 MIN_TOKENS tokens are never dropped.
 
 Templates are counted once per document before anything is shuffled and combined on the map side; what is
-shuffled are 128-bit keys, never lines. Texts are shuffled once, to meet the numbers of the lines that
+shuffled are 128-bit keys, never lines. Lines of the commonest templates, fewer than HOT by their share, are judged by a
+broadcast, so that no line is so common that it burdens one task. Texts are shuffled once, to meet the numbers of the lines that
 they lose.
 
 Defined results: a null text stays null and has no lines; rows that repeat an id and a text are one document;
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspan.llm.common import unused
+from quillspan.llm.common import durable, unused
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 8, 3, 3
 #: Tokens from which a template recurs in two documents.
 LONG = 20
+#: Templates that make up more than one in HOT of all recurrences, of which there are fewer than HOT, are broadcast.
+HOT = 10_000
 
 
 def _key(line: Column) -> Column:
@@ -46,12 +49,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring(keyed: DataFrame, repeated: bool, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key, first: the templates that recur, and the document that keeps them; ``repeated`` says that ids may repeat."""
+    """key, first, n: the templates that recur, the document that keeps them and how many have them; ``repeated`` says that ids may repeat."""
     once = keyed.dropDuplicates(["id", "h"]) if repeated else keyed  # few tables repeat rows; the others are spared the shuffle of their keys
     rows = once.select("id", "h", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k"))
     # the texts of a repeated id, if they differ, are documents of their own
     found = rows.groupBy(F.col("k.key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h")).alias("first"), F.max("k.long").alias("long"))
-    return found.where(F.col("n") >= F.when(F.col("long"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))).select("key", "first")
+    return found.where(F.col("n") >= F.when(F.col("long"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))).select("key", "first", "n")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -59,7 +62,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = _keyed(docs, id_col, text_col)
     repeated = not docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     lines = keyed.select("id", "h", F.posexplode("keys").alias("at", "k")).where("k is not null").select("id", "h", "at", F.col("k.key").alias("key"))
-    hit = lines.join(recurring(keyed, repeated, min_docs), "key").where(~F.struct("id", "h").eqNullSafe(F.col("first")))
+    found = durable(recurring(keyed, repeated, min_docs))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = found.where(F.col("n") * HOT > F.lit(total)).select("key", F.col("first").alias("common"))
+    # lines of common templates are judged by the broadcast and spread over all tasks, the others meet their template by its key
+    lines = lines.join(F.broadcast(hot), "key", "left")
+    spread = F.unhex(F.md5(F.xxhash64("id", "h", "at").cast("string")))
+    met = lines.withColumn("key", F.when(F.col("common").isNull(), F.col("key")).otherwise(spread)).join(found.select("key", "first"), "key", "left")
+    keeper = F.coalesce("common", "first")
+    hit = met.where(keeper.isNotNull() & ~F.struct("id", "h").eqNullSafe(keeper))
     return hit.groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("lost"))
 
 

@@ -343,3 +343,19 @@ def test_wrappers_in_any_order():
     first = wrapper(range(40))
     for _ in range(5):
         assert wrapper(rng.sample(range(40), 40)) == first
+
+
+def test_lines_common_and_rare(spark, monkeypatch):
+    """Templates above and below the bound of the broadcast, against brute force."""
+    rng = random.Random(8)
+    lines = ["a line that all of them have"] * 6 + [f"{chr(97 + k % 26)}{chr(97 + k // 26)} is one rarer line" for k in range(60)]
+    docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(12)))) for k in range(200)]
+    where: dict = {}
+    for k, text in docs:
+        for line in text.split("\n"):
+            where.setdefault(line, set()).add(k)
+    gone = lambda k, line: bool(line) and len(where[line]) >= 3 and min(where[line]) != k
+    want = {k: "\n".join(x for x in text.split("\n") if not gone(k, x)) for k, text in docs}
+    for bound in (1, 8, 10_000):  # none, the commonest, all by the broadcast
+        monkeypatch.setattr(line_dedup, "HOT", bound)
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} == want
