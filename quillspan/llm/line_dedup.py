@@ -61,7 +61,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, h, lost: the numbers of the lines that a document loses; only documents that lose any."""
     keyed = _keyed(docs, id_col, text_col)
     repeated = not docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    lines = keyed.select("id", "h", F.posexplode("keys").alias("at", "k")).where("k is not null").select("id", "h", "at", F.col("k.key").alias("key"))
+    lines = keyed.select("id", "h", F.posexplode_outer("keys").alias("at", "k")).where("k is not null").select("id", "h", "at", F.col("k.key").alias("key"))
     found = durable(recurring(keyed, repeated, min_docs))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where(F.col("n") * HOT > F.lit(total)).select("key", F.col("first").alias("common"))
