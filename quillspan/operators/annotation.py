@@ -41,37 +41,43 @@ def pairwise_agreement(entities: DataFrame, threshold: float = 0.5) -> DataFrame
     return pairs(entities).groupBy("annotator1", "annotator2").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg((F.col("iou") >= threshold).cast("double")).alias("agreement"))
 
 
-def _matched(entities: DataFrame, threshold: float) -> DataFrame:
-    """Per task and pair of annotators: n1, n2 and m, the left spans with a match of the same label."""
-    counts = entities.groupBy("task", "annotator").agg(F.count(F.lit(1)).alias("n"))
+def _matched(entities: DataFrame, threshold: float, seen: DataFrame | None) -> DataFrame:
+    """Per task and pair of annotators who saw it: n1, n2, m, the left spans with a match of the same label, and met, the matching pairs of spans."""
+    who = entities.select("task", "annotator")
+    who = (who if seen is None else who.unionByName(seen.select("task", "annotator"))).distinct()
+    counts = who.join(entities.groupBy("task", "annotator").agg(F.count(F.lit(1)).alias("n")), ["task", "annotator"], "left").fillna(0, ["n"])
     a = counts.select("task", F.col("annotator").alias("annotator1"), F.col("n").alias("n1"))
     b = counts.select("task", F.col("annotator").alias("annotator2"), F.col("n").alias("n2"))
     both = a.join(b, "task").where("annotator1 < annotator2")
-    hit = pairs(entities).where((F.col("iou") >= threshold) & (F.col("label1") == F.col("label2"))).select("task", "annotator1", "annotator2", "ord1").distinct()
-    m = hit.groupBy("task", "annotator1", "annotator2").agg(F.count(F.lit(1)).alias("m"))
-    return both.join(m, ["task", "annotator1", "annotator2"], "left").fillna(0, ["m"])
+    hit = pairs(entities).where((F.col("iou") >= threshold) & (F.col("label1") == F.col("label2"))).groupBy("task", "annotator1", "annotator2", "ord1").agg(F.count(F.lit(1)).alias("k"))
+    m = hit.groupBy("task", "annotator1", "annotator2").agg(F.count(F.lit(1)).alias("m"), F.sum("k").alias("met"))
+    return both.join(m, ["task", "annotator1", "annotator2"], "left").fillna(0, ["m", "met"])
 
 
-def agreement_jaccard(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Mean, lowest and highest of matches over the union of two annotators' spans."""
-    score = F.col("m") / (F.col("n1") + F.col("n2") - F.col("m"))
-    return _matched(entities, threshold).groupBy("annotator1", "annotator2").agg(F.avg(score).alias("mean_"), F.min(score).alias("min_"), F.max(score).alias("max_"))
+def agreement_jaccard(entities: DataFrame, threshold: float = 0.5, seen: DataFrame | None = None) -> DataFrame:
+    """Mean, lowest and highest of matches over the union of two annotators' spans; 1 for a task where both found nothing.
 
+    ``seen`` (task, annotator) says who saw which task; without it, an annotator saw the tasks with spans of theirs.
+    """
+    union = F.col("n1") + F.col("n2") - F.col("m")
+    score = F.when(union > 0, F.col("m") / union).otherwise(F.lit(1.0))
+    return _matched(entities, threshold, seen).groupBy("annotator1", "annotator2").agg(F.avg(score).alias("mean_"), F.min(score).alias("min_"), F.max(score).alias("max_"))
 
-def agreement_dice(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
-    score = 2 * F.col("m") / (F.col("n1") + F.col("n2"))
-    return _matched(entities, threshold).groupBy("annotator1", "annotator2").agg(F.avg(score).alias("dice"))
 
+def agreement_dice(entities: DataFrame, threshold: float = 0.5, seen: DataFrame | None = None) -> DataFrame:
+    """Mean of twice the matches over both annotators' spans; 0 for a task where both found nothing; ``seen`` as for Jaccard."""
+    total = F.col("n1") + F.col("n2")
+    score = F.when(total > 0, 2 * F.col("m") / total).otherwise(F.lit(0.0))
+    return _matched(entities, threshold, seen).groupBy("annotator1", "annotator2").agg(F.avg(score).alias("dice"))
 
-def kappa(entities: DataFrame, threshold: float = 0.5, expected: float = 0.33) -> DataFrame:
-    """Agreement over chance with a constant chance, and its band."""
-    hits = pairs(entities).where((F.col("iou") >= threshold) & (F.col("label1") == F.col("label2"))).groupBy("annotator1", "annotator2").agg(F.count(F.lit(1)).alias("m"))
-    counts = entities.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (counts.select(F.col("annotator").alias(f"annotator{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    observed = 2 * F.col("m") / (F.col("n1") + F.col("n2"))
+
+def kappa(entities: DataFrame, threshold: float = 0.5, expected: float = 0.33, seen: DataFrame | None = None) -> DataFrame:
+    """Agreement over chance with a constant chance, and its band, over the tasks that both annotators saw; no match is an agreement of 0."""
+    sums = _matched(entities, threshold, seen).groupBy("annotator1", "annotator2").agg(F.sum(F.col("n1") + F.col("n2")).alias("total"), F.sum("met").alias("met"))
+    observed = F.when(F.col("total") > 0, 2 * F.col("met") / F.col("total")).otherwise(F.lit(0.0))
     value = (observed - expected) / (1 - expected)
     band = F.when(value >= 0.8, "excellent").when(value >= 0.6, "good").when(value >= 0.4, "moderate").otherwise("poor")
-    return hits.join(a, "annotator1").join(b, "annotator2").select("annotator1", "annotator2", value.alias("kappa"), band.alias("band"))
+    return sums.select("annotator1", "annotator2", value.alias("kappa"), band.alias("band"))
 
 
 def consensus_iou(entities: DataFrame, threshold: float = 0.5) -> DataFrame:

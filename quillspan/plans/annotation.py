@@ -45,8 +45,10 @@ def consensus_majority(spark, sf_dir):
 _O = "greatest(0, least(a.end_, b.end_) - greatest(a.start_, b.start_))"
 _IOU = f"{_O}::double / ((a.end_ - a.start_) + (b.end_ - b.start_) - {_O})"
 _PAIRS = f"p as (select a.task, a.annotator annotator1, b.annotator annotator2, a.ord ord1, a.label l1, b.label l2, {_IOU} iou from annotated a join annotated b on a.task = b.task and a.annotator < b.annotator)"
-_N = "c as (select task, annotator, count(*) n from annotated group by 1, 2)"
-_MATCHED = f"{_N}, m as (select x.task, x.annotator annotator1, y.annotator annotator2, x.n n1, y.n n2, coalesce(k, 0) m from c x join c y on x.task = y.task and x.annotator < y.annotator left join (select task, annotator1, annotator2, count(distinct ord1) k from p where iou >= 0.5 and l1 = l2 group by 1, 2, 3) h on h.task = x.task and h.annotator1 = x.annotator and h.annotator2 = y.annotator)"
+_SEEN = "select o_orderkey task, concat('ann', a) annotator from {orders} orders cross join (select 0 a union all select 1 union all select 2) v where (o_orderkey + a) % 7 <> 0"
+_N = f"""w as (select task, annotator from annotated union select task, annotator from ({_SEEN.replace('{orders} ', '')}) z), c as (select w.task, w.annotator, count(ord) n from w left join annotated e on e.task = w.task and e.annotator = w.annotator group by 1, 2)"""
+_MATCHED = f"""{_N}, m as (select x.task, x.annotator annotator1, y.annotator annotator2, x.n n1, y.n n2, coalesce(k, 0) m, coalesce(h.met, 0) met from c x join c y on x.task = y.task and x.annotator < y.annotator
+left join (select task, annotator1, annotator2, count(distinct ord1) k, count(*) met from p where iou >= 0.5 and l1 = l2 group by 1, 2, 3) h on h.task = x.task and h.annotator1 = x.annotator and h.annotator2 = y.annotator)"""
 _HEAD = with_("annotated", sql="select 1").removesuffix(" select 1") + f", {_PAIRS}"
 
 
@@ -60,19 +62,30 @@ def pairwise_agreement(spark, sf_dir):
     return _round(A.pairwise_agreement(_entities(spark, sf_dir)))
 
 
-@plan("agreement_jaccard", f"{_HEAD}, {_MATCHED} select annotator1, annotator2, round(avg(m / (n1 + n2 - m)), 6) mean_, round(min(m / (n1 + n2 - m)), 6) min_, round(max(m / (n1 + n2 - m)), 6) max_ from m group by 1, 2")
+def _seen(spark, sf_dir):
+    """Who saw which task: also tasks in which they found nothing."""
+    return spark.sql(_SEEN, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+_JACCARD = "case when n1 + n2 > m then m / (n1 + n2 - m) else 1 end"
+
+
+@plan("agreement_jaccard", f"{_HEAD}, {_MATCHED} select annotator1, annotator2, round(avg({_JACCARD}), 6) mean_, round(min({_JACCARD}), 6) min_, round(max({_JACCARD}), 6) max_ from m group by 1, 2")
 def agreement_jaccard(spark, sf_dir):
-    return _round(A.agreement_jaccard(_entities(spark, sf_dir)))
+    return _round(A.agreement_jaccard(_entities(spark, sf_dir), seen=_seen(spark, sf_dir)))
 
 
-@plan("agreement_dice", f"{_HEAD}, {_MATCHED} select annotator1, annotator2, round(avg(2 * m / (n1 + n2)), 6) dice from m group by 1, 2")
+@plan("agreement_dice", f"{_HEAD}, {_MATCHED} select annotator1, annotator2, round(avg(case when n1 + n2 > 0 then 2 * m / (n1 + n2) else 0 end), 6) dice from m group by 1, 2")
 def agreement_dice(spark, sf_dir):
-    return _round(A.agreement_dice(_entities(spark, sf_dir)))
+    return _round(A.agreement_dice(_entities(spark, sf_dir), seen=_seen(spark, sf_dir)))
+
+
+_KAPPA = "k as (select annotator1, annotator2, (2.0::double * sum(met) / sum(n1 + n2) - 0.33) / (1 - 0.33) kappa from m group by 1, 2)"
 
 
-@plan("kappa_simplified", f"{_HEAD}, t as (select annotator, count(*) n from annotated group by 1), k as (select annotator1, annotator2, (2.0::double * count(*) / (max(x.n) + max(y.n)) - 0.33) / (1 - 0.33) kappa from p join t x on x.annotator = annotator1 join t y on y.annotator = annotator2 where iou >= 0.5 and l1 = l2 group by 1, 2) select annotator1, annotator2, round(kappa, 6) kappa, case when kappa >= 0.8 then 'excellent' when kappa >= 0.6 then 'good' when kappa >= 0.4 then 'moderate' else 'poor' end band from k")
+@plan("kappa_simplified", f"{_HEAD}, {_MATCHED}, {_KAPPA} select annotator1, annotator2, round(kappa, 6) kappa, case when kappa >= 0.8 then 'excellent' when kappa >= 0.6 then 'good' when kappa >= 0.4 then 'moderate' else 'poor' end band from k")
 def kappa_simplified(spark, sf_dir):
-    return _round(A.kappa(_entities(spark, sf_dir)))
+    return _round(A.kappa(_entities(spark, sf_dir), seen=_seen(spark, sf_dir)))
 
 
 @plan("annotator_counts", with_("annotated", sql="select coalesce(annotator, 'unknown') annotator, count(*) n_spans, count(distinct task) n_tasks, round(count(*) / count(distinct task), 6) mean_spans from annotated group by 1"))

@@ -111,3 +111,16 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = spark.read.json(str(tmp_path / "out")).selectExpr("doc_id", "size(spans) n").orderBy("doc_id").collect()
     batch = M.nested(docs, M.weak_label(docs, symptoms, products)).selectExpr("doc_id", "size(spans) n").orderBy("doc_id").collect()
     assert streamed == batch and batch[0].n == 2
+
+
+def test_agreement_of_empty_tasks_and_no_hits(spark):
+    from quillspan.operators import annotation as A
+
+    rows = [(1, "a", 0, 0, 5, "SYMPTOM"), (1, "b", 0, 0, 5, "SYMPTOM"), (2, "a", 0, 0, 5, "SYMPTOM"), (2, "c", 0, 7, 9, "SYMPTOM")]
+    e = spark.createDataFrame(rows, "task int, annotator string, ord int, start int, end int, label string")
+    seen = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (3, "b")], "task int, annotator string")
+    got = {(r.annotator1, r.annotator2): (r.mean_, r.min_, r.max_) for r in A.agreement_jaccard(e, seen=seen).collect()}
+    assert got[("a", "b")] == (2 / 3, 0.0, 1.0) and got[("a", "c")] == (0.0, 0.0, 0.0)
+    assert {(r.annotator1, r.annotator2): r.dice for r in A.agreement_dice(e).collect()} == {("a", "b"): 1.0, ("a", "c"): 0.0}
+    k = {(r.annotator1, r.annotator2): (round(r.kappa, 6), r.band) for r in A.kappa(e, seen=seen).collect()}
+    assert k[("a", "b")] == (round((2 / 3 - 0.33) / 0.67, 6), "moderate") and k[("a", "c")] == (round(-0.33 / 0.67, 6), "poor")
