@@ -65,6 +65,27 @@ def record_issues(text: Column, spans: Column) -> Column:
     return F.array_compact(F.concat(whole, F.coalesce(of_span, F.array().cast("array<string>"))))
 
 
+def ingest_stats(docs: DataFrame, spans: DataFrame, min_spans: int = 1, limit: int | None = None) -> DataFrame:
+    """One row of nine counters over records (doc_id, text) and their spans (doc_id, start, end, label, text).
+
+    A record without text is skipped, then one with fewer than ``min_spans`` spans, then one with issues; spans are counted over the rest.
+    """
+    docs = docs.select("doc_id", "text")
+    docs = docs if limit is None else docs.limit(limit)
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "text")).alias("spans"))
+    rows = docs.join(listed, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(listed.schema["spans"].dataType)))
+    text, n = F.col("text"), F.size("spans")
+    status = F.when(F.coalesce(text, F.lit("")) == "", "no_text").when(n < min_spans, "no_spans").when(F.size(record_issues(text, F.col("spans"))) > 0, "invalid").otherwise("successful")
+    of = lambda label: F.size(F.filter("spans", lambda x: x["label"] == label))
+    rows = rows.select(status.alias("status"), n.alias("n"), of("SYMPTOM").alias("s"), of("PRODUCT").alias("p"))
+    kept = lambda c: F.coalesce(F.sum(F.when(F.col("status") == "successful", F.col(c))), F.lit(0)).cast("long")
+    named = {"no_text": "skipped_no_text", "no_spans": "skipped_no_spans", "invalid": "validation_failed", "successful": "successful"}
+    return rows.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count(F.lit(1)).alias("processed"), *(F.count_if(F.col("status") == k).alias(v) for k, v in named.items()),
+        kept("n").alias("total_spans"), kept("s").alias("symptom_spans"), kept("p").alias("product_spans"),
+    )
+
+
 def bio_tags(tokens: Column, entities: Column, mode: str = "reference") -> Column:
     """One tag per token. ``reference``: B- unless an earlier entity tagged the token; ``bio``: B- on an entity's first token only."""
     inside = lambda t, e: (t["start"] >= e["start"]) & (t["end"] <= e["end"])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import refine as R, spans as S
+from quillspan.operators import matching as M, refine as R, spans as S
 from quillspan.plans.catalog import plan
-from quillspan.plans.corpus import COMPLAINTS, corpus, lexicon, with_
+from quillspan.plans.corpus import COMPLAINTS, SYMPTOM_LEXICON, corpus, lexicon, with_
 from quillspan.sources import records as X
 
 
@@ -155,13 +155,24 @@ def category_filter(spark, sf_dir):
     return X.filter_by_category(_events(spark, sf_dir), ["cosmetics", "supplements"]).select("doc_id")
 
 
-@plan("ingest_stats", with_("complaints", sql=f"select count(*) total, count(*) filter (where t is null) no_text, count(*) filter (where t is not null and not contains(lower(t), 'rash')) too_few_spans, count(*) filter (where t is not null and contains(lower(t), 'rash') and length(t) > 5000) invalid, count(*) filter (where t is not null and contains(lower(t), 'rash') and length(t) <= 5000) successful from (select {_TEXT} t from complaints)"))
+_INGEST = f"""d as (select doc_id, {_TEXT} t from complaints),
+x as (select term, 'SYMPTOM' label from ({SYMPTOM_LEXICON}) union all select distinct p_name, 'PRODUCT' from part),
+h as (select doc_id, t, label, length(term) n, list_sum(list_transform(g[1:i], lambda z: length(z))) + (i - 1) * length(term) s from (
+  select *, unnest(range(1, len(g))) i from (select doc_id, t, term, label, string_split(lower(t), lower(term)) g from d, x where contains(lower(t), lower(term))))),
+k as (select doc_id, label from h where (s = 0 or not regexp_matches(substr(t, s::bigint, 1), '[A-Za-z0-9]')) and not regexp_matches(substr(t, (s + n + 1)::bigint, 1), '[A-Za-z0-9]')),
+c as (select d.doc_id, t, count(label) n, count(*) filter (where label = 'SYMPTOM') s, count(*) filter (where label = 'PRODUCT') p from d left join k using (doc_id) group by 1, 2),
+r as (select *, case when t is null then 'no_text' when n < 2 then 'no_spans' when doc_id % 50 = 0 or length(t) > 5000 then 'invalid' else 'successful' end status from c)"""
+
+
+@plan("ingest_stats", with_("complaints", sql="select 1").removesuffix(" select 1") + f", {_INGEST} select count(*) total_rows, count(*) processed, count(*) filter (where status = 'no_text') skipped_no_text, count(*) filter (where status = 'no_spans') skipped_no_spans, count(*) filter (where status = 'invalid') validation_failed, count(*) filter (where status = 'successful') successful, coalesce(sum(n) filter (where status = 'successful'), 0)::bigint total_spans, coalesce(sum(s) filter (where status = 'successful'), 0)::bigint symptom_spans, coalesce(sum(p) filter (where status = 'successful'), 0)::bigint product_spans from r")
 def ingest_stats(spark, sf_dir):
+    """Counters over the exact matches of both lexicons; the span texts of every 50th record are spoilt, to fail the check."""
     e = _events(spark, sf_dir)
-    t = F.col("t")
-    status = F.when(t.isNull(), "no_text").when(~F.contains(F.lower(t), F.lit("rash")), "too_few_spans").when(F.size(S.record_issues(t, F.array().cast("array<struct<start:int,end:int,text:string>>"))) > 0, "invalid").otherwise("successful")
-    s = e.select(X.complaint_text(e.columns).alias("t")).select(status.alias("s"))
-    return s.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("s") == v).alias(v) for v in ("no_text", "too_few_spans", "invalid", "successful")))
+    docs = e.select("doc_id", X.complaint_text(e.columns).alias("text"))
+    texts = docs.where(F.col("text").isNotNull())
+    found = [M.match_exact(texts, lexicon(spark, sf_dir, k.lower()), kind).select("doc_id", "start", "end", F.lit(k).alias("label")) for k, kind in (("SYMPTOM", M.SYMPTOM), ("PRODUCT", M.PRODUCT))]
+    spans = found[0].unionByName(found[1]).join(texts, "doc_id").withColumn("text", F.expr("substring(text, start + 1, end - start)"))
+    return S.ingest_stats(docs, spans.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))), min_spans=2)
 
 
 def _lexicons(spark, sf_dir):

@@ -124,3 +124,12 @@ def test_agreement_of_empty_tasks_and_no_hits(spark):
     assert {(r.annotator1, r.annotator2): r.dice for r in A.agreement_dice(e).collect()} == {("a", "b"): 1.0, ("a", "c"): 0.0}
     k = {(r.annotator1, r.annotator2): (round(r.kappa, 6), r.band) for r in A.kappa(e, seen=seen).collect()}
     assert k[("a", "b")] == (round((2 / 3 - 0.33) / 0.67, 6), "moderate") and k[("a", "c")] == (round(-0.33 / 0.67, 6), "poor")
+
+
+def test_ingest_counters(spark):
+    long = "rash on the left arm since May"
+    docs = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, long), (5, long), (6, "rash")], "doc_id int, text string")
+    rows = [(1, 0, 4, "SYMPTOM", "rash"), (1, 12, 16, "PRODUCT", "left"), (4, 0, 4, "SYMPTOM", "RASH"), (6, 0, 4, "SYMPTOM", "rash")]
+    spans = spark.createDataFrame(rows, "doc_id int, start int, end int, label string, text string")
+    assert tuple(S.ingest_stats(docs, spans).first()) == (6, 6, 2, 1, 2, 1, 2, 1, 1)
+    assert tuple(S.ingest_stats(docs.limit(0), spans).first()) == (0,) * 9
