@@ -16,6 +16,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from operator import methodcaller
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,14 +32,15 @@ BINS = f"full boolean, used long, members array<struct<{PIECES.replace(' ', ':')
 
 
 class WordEncoder:
-    """Ids of a lower-casing word BPE, with known words remembered.
+    """Ids of a lower-casing word BPE, with known stretches remembered.
 
     The vocabulary never joins across spaces, tabs or line ends, so a text is cut there first. What
     lies between is cut into letter runs, single digits and symbol runs as the tokenizer does, for ASCII and Latin-1; any other
-    stretch goes through the tokenizer whole. Both memories are emptied when they reach ``keep`` entries.
+    stretch goes through the tokenizer whole. The memory has a newer and an older half of ``keep`` entries each: when the
+    newer one is full, it takes the place of the older one, and what is used again comes back from there.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -48,8 +50,8 @@ class WordEncoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.keep = keep
 
     @staticmethod
@@ -58,30 +60,28 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-        got = self.words[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(shown)])
-        return got
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(shown)])
 
     def stretch(self, text: str) -> bytes:
-        if "<|" in text or not self.plain.fullmatch(text):
+        if (got := self.older.get(text)) is not None:
+            pass
+        elif "<|" in text or not self.plain.fullmatch(text):
             got = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            known = self.words
-            if len(known) > self.keep:
-                known.clear()
-            got = b"".join([known.get(w) or self.word(w) for w in self.cut.findall(text.lower())])
+            got = b"".join([self.newer.get(w) or self.older.get(w) or self.word(w) for w in self.cut.findall(text.lower())])
         if len(text) <= 24:
-            self.stretches[text] = got
+            if len(self.newer) >= self.keep:
+                self.newer, self.older = {}, self.newer
+            self.newer[text] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        known = self.stretches
-        if len(known) > self.keep:
-            known.clear()
-        get, make = known.get, self.stretch
-        return b"".join([got if (got := get(s)) is not None else make(s) for s in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if s])
+        make = self.stretch
+        return b"".join([got if (got := self.newer.get(s)) is not None else make(s) for s in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if s])
 
 
+_AS_PY = methodcaller("as_py")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing: int =
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
         encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, text in zip(batch.column(0).to_pylist(), map(_AS_PY, batch.column(1)), strict=True):  # one at a time: a batch of texts is large
             ids = encoder.encode(text or "") + end
             for k, first in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[first : first + 4 * capacity]

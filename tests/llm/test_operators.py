@@ -96,6 +96,12 @@ def test_packing(spark):
     assert len({r.sequence_id for r in rows}) <= -(-total // 512) + 2
 
 
+def test_packing_memory_is_bounded_within_a_text():
+    encoder = packing.WordEncoder(tokenizer("word_bpe_49k.json"), keep=100)
+    encoder.encode(" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(2000)))
+    assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict) and x is not encoder.byte) <= 200
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
