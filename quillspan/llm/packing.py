@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from operator import methodcaller
@@ -36,8 +37,11 @@ class WordEncoder:
 
     The vocabulary never joins across spaces, tabs or line ends, so a text is cut there first. What
     lies between is cut into letter runs, single digits and symbol runs as the tokenizer does, for ASCII and Latin-1; any other
-    stretch goes through the tokenizer whole. The memory has a newer and an older half of ``keep`` entries each: when the
-    newer one is full, it takes the place of the older one, and what is used again comes back from there.
+    stretch goes through the tokenizer whole. A Latin-1 text is first lower-cased, and a symbol between a letter and a
+    space parted from the letter, so that few stretches differ and most are one word; special tokens, which are told
+    by their case, begin with ``<|``, and texts with these signs are left as they are. The memory has a newer and an older
+    half of ``keep`` entries each: when the newer one is full, it takes the place of the older one, and what is used
+    again comes back from there.
     """
 
     def __init__(self, path: str, keep: int = 200_000):
@@ -47,6 +51,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = re.compile(r"[\x21-\x7e\xc0-\xff]+")
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.part = re.compile(r"([!,.:;?])(?<=[a-z\xe0-\xf6\xf8-\xff].)(?=[ \n\t\r])").sub
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -56,7 +61,7 @@ class WordEncoder:
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
@@ -65,6 +70,8 @@ class WordEncoder:
     def stretch(self, text: str) -> bytes:
         if (got := self.older.get(text)) is not None:
             pass
+        elif text.isascii() and text.isalpha():
+            got = self.word(text.lower())
         elif "<|" in text or not self.plain.fullmatch(text):
             got = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
@@ -77,10 +84,22 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if "<|" not in text and _latin(text):
+            text = self.part(r" \1", text.lower())
         make = self.stretch
         return b"".join([got if (got := self.newer.get(s)) is not None else make(s) for s in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if s])
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _AS_PY = methodcaller("as_py")
 _ENCODERS: dict[str, WordEncoder] = {}
 

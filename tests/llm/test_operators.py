@@ -102,6 +102,24 @@ def test_packing_memory_is_bounded_within_a_text():
     assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict) and x is not encoder.byte) <= 200
 
 
+def test_packing_encoder_shares_spellings():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    tried, make = [], encoder.stretch
+    encoder.stretch = lambda s: tried.append(s) or make(s)
+    variants = "tree Tree TREE tree, Tree. TREE; tree! ÉTÉ été, x"
+    assert encoder.encode(variants) == encoder.pack(tok.encode(variants, add_special_tokens=False).ids)
+    assert sorted(tried) == sorted(["tree", ",", ".", ";", "!", "été", "x"])
+    rng = random.Random(8)
+    odd = ["<|ENDOFTEXT|>", "<|endoftext|>,", "<|", "Don't", "don'", "rock'N'roll,", "X'S,", "a.,", '"b",', "é.", "×.", "÷,", "ÀÖØÞß,", "µ,", "ª.", "\xa0,", "\xad;", "a\x1c,", "a\x85.", "İ,", "ΑΣ,", "K.", "1,", "b1.", "_,", "e\u0301,", "日本,", "😀."]
+    for some in (odd, [w for w in odd if "<|" not in w and max(w) <= "\xff"]):
+        for _ in range(300):
+            text = "".join(rng.choice(some) + rng.choice([" ", "  ", "\n", "\t", "\r", "", ""]) for _ in range(rng.randrange(9)))
+            assert encoder.encode(text) == encoder.pack(tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
