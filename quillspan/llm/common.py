@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,17 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get batches of BATCH_BYTES at most; a smaller limit of its own stays.
+
+    Spark's own limit is 64 MB. A batch is held several times over, by the executor outside its heap and by the worker,
+    and neither gives all of that back.
+    """
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def unused(df: DataFrame, prefix: str) -> str:
     """``prefix``, made longer until no column of ``df`` begins with it."""
     while any(c.lower().startswith(prefix.lower()) for c in df.columns):

@@ -479,8 +479,9 @@ class _Links:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str):
         self.docs, self.reps, self.rule = docs, reps, (words, percent, id_col, text_col)
-        self.found = self.tried = docs.sparkSession.createDataFrame([], "a long, b long")
-        self.labels = docs.sparkSession.createDataFrame([], "id long, label long")
+        none = docs.sparkSession.range(0)  # createDataFrame would start Python workers of another kind on the executors
+        self.found = self.tried = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        self.labels = none.select("id", F.col("id").alias("label"))
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with the label of each rep."""

@@ -50,3 +50,16 @@ def test_stages_and_run(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_start_no_other_python_workers(spark, tmp_path, monkeypatch):
+    texts, _ = _documents()
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items() if k >= 40], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    def never(*args, **kwargs):
+        raise AssertionError("createDataFrame serves rows by Python workers of another kind")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", never)
+    assert sorted(r.doc_id for r in P.near_copies(spark, docs, str(tmp_path)).collect()) == [40, 50]
