@@ -52,6 +52,42 @@ def test_empty_table(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_python_workers_get_small_batches(spark, tmp_path, monkeypatch):
+    from quillspan.llm.common import BATCH_BYTES, small_batches
+
+    key, rng = "spark.sql.execution.arrow.maxBytesPerBatch", random.Random(5)
+    words = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    rows = [(k, " ".join(rng.choices(words, k=8000)), "en") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    most, frame = BATCH_BYTES + 100_000, type(docs)  # a batch ends with the row that reaches the limit
+    assert sum(len(t) for _, t, _ in rows) > most + 1_000_000
+    plain = frame.mapInArrow
+
+    def held(self, f, schema, *args, **kwargs):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes <= most, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            yield from f(small())
+
+        return plain(self, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", held)
+    try:
+        for name, stage in P.STAGES:
+            if name in ("quality_rules", "near_dedup", "best_fit_packing"):
+                spark.conf.unset(key)
+                assert stage(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 150
+        for own, kept in (("1000", 1000), ("64MB", BATCH_BYTES)):
+            spark.conf.set(key, own)
+            small_batches(spark)
+            assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == kept
+    finally:
+        spark.conf.unset(key)
+
+
 def test_near_copies_start_no_other_python_workers(spark, tmp_path, monkeypatch):
     texts, _ = _documents()
     docs = spark.createDataFrame([(k, t) for k, t in texts.items() if k >= 40], "doc_id long, text string")
