@@ -50,23 +50,23 @@ def match_products(spark, sf_dir):
     return M.match(_docs(spark, sf_dir), lexicon(spark, sf_dir, "product"), M.PRODUCT).select("doc_id", *M.SPAN_COLUMNS)
 
 
-def labelled(spark, sf_dir):
-    return M.weak_label(_docs(spark, sf_dir), lexicon(spark, sf_dir, "symptom"), lexicon(spark, sf_dir, "product"))
+def _lexicons(spark, sf_dir):
+    return lexicon(spark, sf_dir, "symptom"), lexicon(spark, sf_dir, "product")
 
 
 @plan("weak_label")
 def weak_label(spark, sf_dir):
-    return labelled(spark, sf_dir)
+    return M.weak_label(_docs(spark, sf_dir), *_lexicons(spark, sf_dir))
 
 
 @plan("weak_records_nested")
 def weak_records_nested(spark, sf_dir):
-    found = M.nested(_docs(spark, sf_dir), labelled(spark, sf_dir))
+    found = M.weak_records(_docs(spark, sf_dir), *_lexicons(spark, sf_dir))
     return found.select("doc_id", F.to_json(F.struct("text", "spans"), {"ignoreNullFields": "false"}).alias("record"))
 
 
 @plan("export_weak_spans")
 def export_weak_spans(spark, sf_dir):
-    found = M.nested(_docs(spark, sf_dir), labelled(spark, sf_dir))
+    found = M.weak_records(_docs(spark, sf_dir), *_lexicons(spark, sf_dir))
     part = F.transform("spans", lambda s: F.struct(*(s[c].alias(c) for c in ("text", "start", "end", "label", "canonical", "confidence", "negated"))))
     return found.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "text", part.alias("weak_spans")), {"ignoreNullFields": "false"}).alias("record"))
