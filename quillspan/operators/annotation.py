@@ -84,8 +84,9 @@ def consensus_iou(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Spans that more than half of a task's annotators support by overlap, one per (start, end, label)."""
     n = entities.groupBy("task").agg(F.countDistinct("annotator").alias("n"))
     a = entities.select("task", "start", "end", "label").distinct()
-    b = entities.select("task", "annotator", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("label").alias("l2"))
-    met = a.join(b, "task").where((F.col("label") == F.col("l2")) & (iou(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")) >= threshold))
+    b = entities.select(F.col("task").alias("task2"), "annotator", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("label").alias("l2"))
+    alike = F.when(F.col("label") == F.col("l2"), iou(F.col("start"), F.col("end"), F.col("s2"), F.col("e2"))).otherwise(F.lit(-1.0))  # as part of the value, labels are no join key: both sides are dealt by task already
+    met = a.join(b, (F.col("task") == F.col("task2")) & (alike >= threshold))
     votes = met.groupBy("task", "start", "end", "label").agg(F.countDistinct("annotator").alias("votes"))
     return votes.join(n, "task").where(F.col("votes") > F.col("n") / 2).drop("n")
 

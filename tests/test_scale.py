@@ -51,3 +51,29 @@ def test_candidates_are_those_of_the_reference(spark, text):
     terms = ["burning sensation", "rash on arm", "itching of the face", "burning"]
     got = M.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), lexicon(spark, *terms), M.SYMPTOM).collect()
     assert sorted((r["size"], r.at, r.phrase, r.t_phrase) for r in got) == sorted(windows(text, terms))
+
+
+@pytest.fixture
+def order_tables(spark, tmp_path):
+    """Line items of 500 orders and their parts, as tables."""
+    k = F.col("id")
+    lines = spark.range(2000).select((k / 4).cast("long").alias("l_orderkey"), (k * 7 % 101).alias("l_partkey"), (k * 13 % 89).alias("l_suppkey"), (k % 4).cast("int").alias("l_linenumber"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(101).select(k.alias("p_partkey"), F.concat(F.lit("red bolt "), k.cast("string")).alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_partitions_follow_the_table_and_scores_stay_in_them(spark, order_tables, monkeypatch):
+    from quillspan.operators import annotation as A, metrics as E
+    from quillspan.plans import corpus as C
+
+    monkeypatch.setattr(C, "PARTITION_BYTES", 1000)
+    weak, llm, gold, annotated = (C.corpus(spark, order_tables, n) for n in ("weak", "llm", "gold", "annotated"))
+    assert weak.rdd.getNumPartitions() > 8
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        for df in (E.best_iou(E.spots(weak), gold), E.corrections(weak, llm, gold), E.greedy_matches(weak, gold), A.consensus_iou(annotated)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
