@@ -44,8 +44,17 @@ def read_lexicon(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return symptom_lexicon(numbered) if kind == "symptom" else product_lexicon(numbered)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the session's checkpoint folder, or with the executors where it has none."""
+    return df.localCheckpoint() if df.sparkSession.sparkContext.getCheckpointDir() is None else df.checkpoint()
+
+
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Consecutive numbers in file order: counts per partition first, then an offset; rows don't move."""
+    """Consecutive numbers in file order: counts per partition first, then an offset.
+
+    The rows are kept in between, as a frame that is computed again may be dealt anew: a sort samples other bounds each time.
+    """
+    df = _kept(df)
     rows = df.withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id()})
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # one row per partition
     start, starts = 0, {}

@@ -77,3 +77,16 @@ def test_partitions_follow_the_table_and_scores_stay_in_them(spark, order_tables
             assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_of_a_sorted_frame_are_numbered_without_gaps(spark):
+    from quillspan.sources import records as X
+
+    lines = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_000).alias("k")).orderBy("k").select(F.when(F.col("k") % 5 == 0, " ").otherwise(F.concat(F.lit("line "), F.col("k").cast("string"))).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = X.text_lines(lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = [k for k in range(200_000) if k % 5]
+    assert sorted((r.id, r.text) for r in rows if r.id is not None) == [(i, f"line {k}") for i, k in enumerate(kept)]
