@@ -1,6 +1,7 @@
 """What a query does once however often a value comes again, how rows are dealt, and results that must not depend on that."""
 
 import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,28 @@ def test_lines_of_a_sorted_frame_are_numbered_without_gaps(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     kept = [k for k in range(200_000) if k % 5]
     assert sorted((r.id, r.text) for r in rows if r.id is not None) == [(i, f"line {k}") for i, k in enumerate(kept)]
+
+
+CONFIDENCES = (51, 98, 79, 83, 64)
+
+
+def test_means_at_a_bound_do_not_depend_on_partitions(spark, tmp_path):
+    """The mean of these is 0.75 or the next double above it, by the order in which they are added."""
+    from itertools import permutations
+
+    from quillspan.plans import annotation as P
+
+    orders = [cs for cs in permutations(CONFIDENCES)]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in range(len(CONFIDENCES)):  # a file for each place, the later the larger, so that the last is read first
+        rows = [(k, (cs[n] - 50) % 51, 1, n) for k, cs in enumerate(orders)] + [(1000 + k, 0, 1, n) for k in range(5000 * n)]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / f"{n}"))
+        next((tmp_path / f"{n}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{n}.parquet")
+    means = [reduce(lambda total, c: total + c / 100, cs, 0.0) / len(cs) for cs in orders]
+    assert 0 < sum(m > 0.75 for m in means) < len(means)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        assert sorted(r.id for r in P.al_uncertain(spark, str(tmp_path)).collect() if r.id < 1000) == [k for k, m in enumerate(means) if m <= 0.75]
+        assert {r.id: r.conf for r in P._records(spark, str(tmp_path)).collect() if r.id < 1000} == dict(enumerate(means))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
