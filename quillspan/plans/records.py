@@ -169,10 +169,9 @@ def ingest_stats(spark, sf_dir):
     """Counters over the exact matches of both lexicons; the span texts of every 50th record are spoilt, to fail the check."""
     e = _events(spark, sf_dir)
     docs = e.select("doc_id", X.complaint_text(e.columns).alias("text"))
-    texts = docs.where(F.col("text").isNotNull())
-    found = [M.match_exact(texts, lexicon(spark, sf_dir, k.lower()), kind).select("doc_id", "start", "end", F.lit(k).alias("label")) for k, kind in (("SYMPTOM", M.SYMPTOM), ("PRODUCT", M.PRODUCT))]
-    spans = found[0].unionByName(found[1]).join(texts, "doc_id").withColumn("text", F.expr("substring(text, start + 1, end - start)"))
-    return S.ingest_stats(docs, spans.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))), min_spans=2)
+    found = M.exact_records(docs, *((lexicon(spark, sf_dir, k), kind) for k, kind in (("symptom", M.SYMPTOM), ("product", M.PRODUCT))))
+    spoilt = F.transform("spans", lambda s: s.withField("text", F.concat(F.lit("x"), s["text"])))
+    return S.ingest_counters(found.withColumn("spans", F.when(F.col("doc_id") % 50 == 0, spoilt).otherwise(F.col("spans"))), min_spans=2)
 
 
 def _lexicons(spark, sf_dir):

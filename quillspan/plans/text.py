@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import constants as K, fuzzy, negation, text as T
-from quillspan.operators.matching import scan_overlapping
+from quillspan.operators.matching import per_text, scan_overlapping
 from quillspan.plans.catalog import plan
 from quillspan.plans.corpus import SYMPTOM_TERMS, corpus, with_
 
@@ -137,8 +137,8 @@ union all select min(t.s), max(t.s + length(t.tok)) from tokens t where t.doc_id
 
 @plan("negated_regions", with_("complaints", sql="select 1").replace(" select 1", f", {_TOKENS_SQL} {_REGIONS}"))
 def negated_regions(spark, sf_dir):
-    docs = corpus(spark, sf_dir, "complaints").select("doc_id", F.explode(negation.negated_regions(T.tokenize(F.col("text")))).alias("r"))
-    return docs.select("doc_id", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end"))
+    found = lambda texts: texts.select("doc_id", F.explode(negation.negated_regions(T.tokenize(F.col("text")))).alias("r"))
+    return per_text(corpus(spark, sf_dir, "complaints"), found).select("doc_id", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end"))
 
 
 @plan("is_negated_overlap", with_("weak", "gold", sql="select w.doc_id, w.ord, coalesce(bool_or(g.doc_id is not null and greatest(0, least(w.end_, g.end_) - greatest(w.start_, g.start_)) >= (w.end_ - w.start_) * 0.5), false) negated from weak w left join gold g on w.doc_id = g.doc_id and g.start_ < w.end_ and g.end_ > w.start_ group by 1, 2"))

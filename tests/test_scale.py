@@ -116,3 +116,16 @@ def test_means_at_a_bound_do_not_depend_on_partitions(spark, tmp_path):
         assert {r.id: r.conf for r in P._records(spark, str(tmp_path)).collect() if r.id < 1000} == dict(enumerate(means))
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ingest_and_regions_look_at_each_text_once(spark, order_tables, monkeypatch):
+    from quillspan.plans import records, text
+
+    seen, prepare, keyed = [], M.prepare, M.text_rows
+    monkeypatch.setattr(M, "prepare", lambda d, s: seen.append(d) or prepare(d, s))
+    total = records.ingest_stats(spark, order_tables).first()
+    assert total.total_rows == 2000 == total.skipped_no_text + total.skipped_no_spans + total.validation_failed + total.successful
+    assert len(seen) == 2 and all(d.select("text").distinct().count() == d.count() < 2000 for d in seen)
+    calls = []
+    monkeypatch.setattr(M, "text_rows", lambda d, f: keyed(d, lambda texts: calls.append(texts) or f(texts)))
+    assert text.negated_regions(spark, order_tables).count() > 0 and len(calls) == 1
